@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat_format, license_scan, mixing, simhash
+from kinloom.llm import chat_format, license_scan, mixing, packing, simhash
 from kinloom.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -15,6 +15,17 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_files() -> dict[str, str]:
+    """The public tokenizer that the driver's box offers; another is another path."""
+    import public_tokenizers as files
+
+    return {"tokenizer_path": files.path("byte_bpe_50k.json"), "ranks_path": files.path("byte_bpe_50k.tiktoken"), "pattern": files.PATTERN}
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), sequence=1024, end_id=2, **tokenizer_files())
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -42,6 +53,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op7_simhash": op7_simhash,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_chat_format": op10_chat_format,
