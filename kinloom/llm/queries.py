@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat_format, license_scan, mixing, packing, simhash
+from kinloom.llm import chat_format, license_scan, mixing, packing, simhash, topk_search
 from kinloom.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -15,6 +15,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def tokenizer_files() -> dict[str, str]:
     """The public tokenizer that the driver's box offers; another is another path."""
     import public_tokenizers as files
@@ -53,6 +57,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op3_topk_search": op3_topk_search,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_simhash": op7_simhash,
     "op9_poisson_mix": op9_poisson_mix,
@@ -115,4 +120,17 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLES = {"op2_license_scan": _license_sql(), "op9_poisson_mix": _MIX_SQL, "op10_chat_format": _CHAT_SQL}
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES = {"op3_topk_search": _TOPK_SQL, "op2_license_scan": _license_sql(), "op9_poisson_mix": _MIX_SQL, "op10_chat_format": _CHAT_SQL}
