@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat_format, license_scan, mixing, packing, simhash, topk_search
+from kinloom.llm import chat_format, embedding_dedup, license_scan, mixing, packing, simhash, topk_search
 from kinloom.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -35,6 +35,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.poisson_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "copy_no", "shuffle_key", "text")
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_topk_search": op3_topk_search,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_simhash": op7_simhash,
+    "op8_hnsw_dedup": op8_hnsw_dedup,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_chat_format": op10_chat_format,
 }
