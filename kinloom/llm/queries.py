@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat_format, embedding_dedup, license_scan, mixing, packing, simhash, topk_search
+from kinloom.llm import chat_format, embedding_dedup, license_scan, mixing, packing, simhash, suffix_dedup, topk_search
 from kinloom.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -30,6 +30,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), sequence=1024, end_id=2, **tokenizer_files())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50, digest=True)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_topk_search": op3_topk_search,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_simhash": op7_simhash,
     "op8_hnsw_dedup": op8_hnsw_dedup,
     "op9_poisson_mix": op9_poisson_mix,
