@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +35,13 @@ from pyspark.sql import functions as F
 from kinloom.llm.common import release, stored
 from kinloom.llm.suffix_sort import PAD, share_prefix, sorted_suffixes, words_at
 
-CHUNK = "chunk long, ids binary, sizes binary, text binary"
+CHUNK = "chunk long, n_bytes long, ids binary, sizes binary, text binary"
 NO_ID = np.iinfo(np.int64).max
 _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(29)
     h *= _Q
     h ^= h >> np.uint64(32)
     return h
@@ -48,7 +49,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _hashes(text: np.ndarray, span: int, at: np.ndarray | None = None) -> np.ndarray:
     """A hash of the ``span`` (8 or more) bytes at each position, or at those given."""
-    words = words_at(text)
+    words = words_at(text, "<u8")
     n = len(text) - span + 1
     out = None
     for offset in [*range(0, span - 7, 8), *([span - 8] if span % 8 else [])]:
@@ -63,6 +64,15 @@ def _hashes(text: np.ndarray, span: int, at: np.ndarray | None = None) -> np.nda
     return _mix(out)
 
 
+def _packed(data: bytes) -> bytes:
+    """Compressed here, since what is shuffled repeats itself much farther than the codec of shuffle files looks."""
+    return zstandard.compress(data, 3)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.decompress(bytes(data))
+
+
 class Chunk:
     """The runs of strings with one name in a chunk of documents."""
 
@@ -70,7 +80,7 @@ class Chunk:
         self.length, self.bits = length, bits
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
-        self.text = np.frombuffer(bytes(row["text"]) + bytes(PAD), np.uint8)
+        self.text = np.frombuffer(_unpacked(row["text"]) + bytes(PAD), np.uint8)
         self.begin = np.cumsum(self.sizes) - self.sizes
         least = _hashes(self.text, gram)
         span, window = 1, length - gram + 1
@@ -98,8 +108,8 @@ class Chunk:
         return (names >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(names), np.int64)
 
     def docs_per_name(self) -> np.ndarray:
-        pair = np.unique(np.stack([self.run_of, self.run_doc], axis=1), axis=0) if len(self.run_of) else np.empty((0, 2), np.int64)
-        return np.bincount(pair[:, 0], minlength=len(self.names))
+        pair = np.unique(self.run_of * len(self.ids) + self.run_doc)
+        return np.bincount(pair // max(1, len(self.ids)), minlength=len(self.names))
 
     def segments(self, flags: np.ndarray) -> dict[int, tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]]:
         """By bucket: the distinct segments in order of their first run; the runs' segment numbers, places and sizes; flags: 0 no, 1 yes, 2 hot."""
@@ -135,9 +145,9 @@ def _pack(documents: DataFrame, chunk_bytes: int) -> DataFrame:
         def chunk():
             number = (TaskContext.get().partitionId() << 32) + made
             sizes = np.array([len(t) for t in texts], np.int64)
-            cols = [[number], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [b"".join(texts)]]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "ids", "sizes", "text"])
+            cols = [[number], [size], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [_packed(b"".join(texts))]]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "n_bytes", "ids", "sizes", "text"])
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
@@ -210,7 +220,7 @@ def _segments(length: int, gram: int, bits: int):
                 least = np.full(len(known), NO_ID)
                 np.minimum.at(least, number, chunk.ids[doc])
                 sizes = np.fromiter(map(len, known), np.int32, len(known))
-                rows.append((bucket, int(row["chunk"]), sizes.tobytes(), least.tobytes(), b"".join(known)))
+                rows.append((bucket, int(row["chunk"]), sizes.tobytes(), least.tobytes(), _packed(b"".join(known))))
         return pd.DataFrame(rows, columns=["bucket", "chunk", "sizes", "least", "text"])
 
     return run
@@ -223,7 +233,7 @@ def _judge(length: int):
         sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["sizes"]]
         size = np.concatenate(sizes)
         least = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["least"]])
-        text = np.frombuffer(b"".join(pdf["text"]) + bytes(PAD), np.uint8)
+        text = np.frombuffer(b"".join(map(_unpacked, pdf["text"])) + bytes(PAD), np.uint8)
         begin, count = np.cumsum(size) - size, size - length + 1
         first = np.cumsum(count) - count
         place = np.repeat(begin - first, count) + np.arange(int(count.sum()))
@@ -231,7 +241,9 @@ def _judge(length: int):
         chosen = np.zeros(len(text), bool)
         chosen[place] = True
         order = sorted_suffixes(text, chosen, length)
-        string = np.searchsorted(place, order)
+        number = np.empty(len(text), np.int32)
+        number[place] = np.arange(len(place), dtype=np.int32)
+        string = number[order]
         starts = np.append(0, np.flatnonzero(~share_prefix(text, order, length)) + 1)
         smallest = np.repeat(np.minimum.reduceat(own[string], starts), np.diff(np.append(starts, len(string))))
         repeated = np.zeros(len(place), bool)
@@ -250,7 +262,7 @@ def _drop(length: int, gram: int, bits: int, digest: bool):
         rows = []
         for _, row in chunks.iterrows():
             chunk = Chunk(row, length, gram, bits)
-            cover = np.zeros(len(chunk.text) + 1, np.int32)
+            places = [np.empty(0, np.int64)]
             judged = {int(b): x for b, x, k in zip(marks["bucket"], marks["data"], marks["kind"], strict=True) if k == 1}
             for bucket, (known, number, at, doc) in chunk.segments(_flags_of(chunk, marks)).items():
                 count = np.fromiter(map(len, known), np.int64, len(known)) - length + 1
@@ -260,10 +272,12 @@ def _drop(length: int, gram: int, bits: int, digest: bool):
                 first, n = (np.cumsum(count) - count)[number], count[number]
                 total, inner = np.cumsum(n) - n, np.arange(int(n.sum()))
                 repeated = bit[np.repeat(first - total, n) + inner] | np.repeat(chunk.ids[doc] > least[number], n)
-                place = (np.repeat(at - total, n) + inner)[repeated]
-                cover += np.bincount(place, minlength=len(cover)).astype(np.int32)
-                cover -= np.bincount(place + length, minlength=len(cover)).astype(np.int32)
-            gone = np.cumsum(cover[:-1]) > 0
+                places.append((np.repeat(at - total, n) + inner)[repeated])
+            change = np.zeros(len(chunk.text) + 1, np.int8)  # a string starts at a place once
+            place = np.concatenate(places)
+            change[place] += 1
+            change[place + length] -= 1
+            gone = np.cumsum(change[:-1], dtype=np.int32) > 0
             for doc, begin, size in zip(chunk.ids.tolist(), chunk.begin.tolist(), chunk.sizes.tolist(), strict=True):
                 mask = gone[begin : begin + size]
                 spans = int(np.count_nonzero(mask[1:] & ~mask[:-1]) + bool(size and mask[0]))
@@ -292,7 +306,7 @@ def remove_repeats(
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every document; kept holds the bytes left, or their SHA-256 in hex with ``digest``."""
     spark = documents.sparkSession
     chunks = stored(_pack(documents, chunk_bytes), "chunks")
-    size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(0, (size // bucket_bytes).bit_length())
     flags = _marks(chunks, length, gram, bits, hot_docs)
     gc.collect()

@@ -12,9 +12,9 @@ import numpy as np
 PAD = 64
 
 
-def words_at(text: np.ndarray) -> np.ndarray:
-    """The eight bytes at each position as an unaligned big-endian view; text must be padded by 8 bytes."""
-    return np.ndarray((len(text) - 7,), ">u8", text.data, strides=(1,))
+def words_at(text: np.ndarray, kind: str = ">u8") -> np.ndarray:
+    """The eight bytes at each position as an unaligned view (big-endian: in the order of the bytes)."""
+    return np.ndarray((len(text) - 7,), kind, text.data, strides=(1,))
 
 
 def kinds(text: np.ndarray) -> np.ndarray:
@@ -67,7 +67,9 @@ def sorted_suffixes(text: np.ndarray, chosen: np.ndarray, depth: int = 50) -> np
     starts, ends = starts[runs], ends[runs]
     wanted = np.flatnonzero(chosen & kind_a)
     if len(wanted):
-        run = np.searchsorted(starts, wanted, "right") - 1
+        opens = np.zeros(len(text), np.int32)
+        opens[starts] = 1
+        run = np.cumsum(opens, dtype=np.int32)[wanted] - 1
         first = np.append(True, run[1:] != run[:-1])
         begin, run = wanted[first], run[first]
         stop = np.minimum(ends[run], len(text) - 1)
@@ -111,7 +113,7 @@ def sorted_suffixes(text: np.ndarray, chosen: np.ndarray, depth: int = 50) -> np
 
 def share_prefix(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For each place but the first: whether the suffix and the one before it share their first ``length`` (8 or more) bytes."""
-    words = words_at(text)
+    words = words_at(text, "<u8")
     same = np.arange(1, len(order))
     for offset in [*range(0, length - 7, 8), length - 8]:
         same = same[words[order[same] + offset] == words[order[same - 1] + offset]]
