@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat_format, embedding_dedup, license_scan, mixing, packing, simhash, suffix_dedup, topk_search
+from kinloom.llm import chat_format, embedding_dedup, license_scan, line_dedup, mixing, packing, quality, simhash, suffix_dedup, topk_search
 from kinloom.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2)
+    return out.select("doc_id", F.col("__line_n").alias("n_lines"), F.col("__line_removed").alias("n_removed"), F.col("__line_runs").alias("n_runs"), "text")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.score_documents(documents, model)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -65,10 +76,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_topk_search": op3_topk_search,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_hnsw_dedup": op8_hnsw_dedup,
     "op9_poisson_mix": op9_poisson_mix,
@@ -144,4 +157,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op3_topk_search": _TOPK_SQL, "op2_license_scan": _license_sql(), "op9_poisson_mix": _MIX_SQL, "op10_chat_format": _CHAT_SQL}
+_LINES_SQL = """
+WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS raw FROM documents),
+filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS pos FROM raw WHERE trim(line) <> ''),
+pairs AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM filled),
+ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) AS r FROM pairs WHERE next IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM ranked WHERE r > 1),
+marked AS (SELECT f.*, g.pos IS NOT NULL AS removed FROM filled f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.pos = g.pos),
+runs AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM marked),
+counts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, count(*) FILTER (opens) AS n_runs FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.raw) AS text FROM raw r LEFT JOIN marked m ON r.doc_id = m.doc_id AND r.raw = m.raw
+  WHERE NOT coalesce(m.removed, false) GROUP BY r.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
+  CASE WHEN coalesce(n_removed, 0) = 0 THEN d.text ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN counts c ON d.doc_id = c.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+ORACLES = {"op1_line_dedup": _LINES_SQL, "op3_topk_search": _TOPK_SQL, "op2_license_scan": _license_sql(), "op9_poisson_mix": _MIX_SQL, "op10_chat_format": _CHAT_SQL}
