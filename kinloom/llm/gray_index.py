@@ -1,7 +1,7 @@
 """A Gray-order hierarchical index over 64-bit fingerprints, for all pairs within a few differing bits.
 
-Upper nodes are masked bit patterns: with at most d differing bits and d + 2 blocks of bits, any two linked fingerprints agree on at
-least two whole blocks, so every link lies under an upper node that fixes two blocks. Fingerprints are dealt to the upper nodes they
+Upper nodes are masked bit patterns: with at most d differing bits and d + k blocks of bits, any two linked fingerprints agree on at
+least k whole blocks, so every link lies under an upper node that fixes k blocks. Fingerprints are dealt to the upper nodes they
 match; below each node they are sorted by Gray rank of their bits (neighbours in that order share long patterns) and factored into a
 tree of runs, each run holding the bits all its members share. A join descends pairs of runs of one upper node, adding up the
 differing bits among the shared bits, and prunes a whole pair of runs as soon as the sum exceeds d.
@@ -19,16 +19,16 @@ FAN = 8
 CHUNK = 1 << 18
 
 
-def blocks(distance: int, bits: int = 64) -> list[int]:
-    """The masks of distance + 2 blocks of nearly equal size."""
-    n = distance + 2
+def blocks(distance: int, agree: int = 2, bits: int = 64) -> list[int]:
+    """The masks of distance + agree blocks of nearly equal size."""
+    n = distance + agree
     edges = [round(i * bits / n) for i in range(n + 1)]
     return [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def upper_masks(distance: int, bits: int = 64) -> list[int]:
-    """Masks of all pairs of blocks, as signed longs."""
-    masks = [a | b for a, b in combinations(blocks(distance, bits), 2)]
+def upper_masks(distance: int, agree: int = 2, bits: int = 64) -> list[int]:
+    """Masks of all choices of ``agree`` blocks, as signed longs."""
+    masks = [sum(chosen) for chosen in combinations(blocks(distance, agree, bits), agree)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -79,7 +79,9 @@ def linked_pairs(prints: np.ndarray, group: np.ndarray, distance: int, side: np.
             stack += [(depth, a[s : s + limit], b[s : s + limit]) for s in range(0, len(a), limit)]
             continue
         level = levels[depth]
-        differ = (level["bits"][a] ^ level["bits"][b]) & level["mask"][a] & level["mask"][b]
+        differ = level["bits"][a] ^ level["bits"][b]
+        if depth:
+            differ &= level["mask"][a] & level["mask"][b]
         near = np.bitwise_count(differ) <= distance
         a, b = a[near], b[near]
         if not len(a):

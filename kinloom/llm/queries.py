@@ -47,8 +47,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, distance=4)
-    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, size=1, distance=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

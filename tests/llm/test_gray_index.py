@@ -12,7 +12,8 @@ def test_gray_neighbours_differ_in_one_bit():
 
 def test_blocks_cover_all_bits_once():
     assert sum(blocks(4)) == (1 << 64) - 1
-    assert len(upper_masks(4)) == 15
+    assert len(upper_masks(4)) == 15 and len(upper_masks(10, 3)) == 286
+    assert all(bin(m & (1 << 64) - 1).count('1') >= 12 for m in upper_masks(10, 3))
 
 
 @pytest.mark.parametrize("spread", [3, 10, 64])
