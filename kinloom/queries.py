@@ -1,6 +1,680 @@
-"""Every query of the library over the driver's tables, and the same in DuckDB's SQL."""
+"""Every query of the library over the driver's tables, and the same in DuckDB's SQL (kinloom/oracles.py).
+
+The documents serve as records of three sources (sources/records.py): name and address are a text's first two lines, and texts that
+are equal are true pairs. Pairs are the ten best TF-IDF candidates of each S1 record with a made-up but fixed probability.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinloom.functions import similarity, text
+from kinloom.operators import addresses, context, decision, features, learned, retrieval, sampling
+from kinloom.oracles import ORACLES  # noqa: F401
+from kinloom.sources import records
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(function):
+    QUERIES[function.__name__] = function
+    return function
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def er(spark: SparkSession, sf: str) -> DataFrame:
+    return records.er_view(table(spark, sf, "documents"))
+
+
+def s1_of(rows: DataFrame) -> DataFrame:
+    return rows.where("src = 1")
+
+
+def pool_of(rows: DataFrame) -> DataFrame:
+    return rows.where("src <> 1")
+
+
+def as_texts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("entity_id").alias("id"), F.col("country").alias("part"), F.concat_ws(" ", "name", "addr").alias("text"))
+
+
+def candidates(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    rows = er(spark, sf)
+    return retrieval.tfidf_top_k(as_texts(s1_of(rows)), as_texts(pool_of(rows)), k, retrieval.word_tokens(F.col("text")))
+
+
+def number(entity: str):
+    return F.substring(entity, 4, 20).cast("long")
+
+
+def with_p(pairs: DataFrame) -> DataFrame:
+    p = ((number("s1") * F.lit(2654435761) + number("cand") * F.lit(40503)) % 10007 + F.lit(0.5)) / F.lit(10007.0)
+    return pairs.withColumn("p", p)
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    return with_p(candidates(spark, sf))
+
+
+def with_record(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs with the candidate's source, country, core name as key and house number."""
+    own = rows.select(F.col("entity_id").alias("cand"), "src", "country", text.core_name(F.col("name")).alias("key"), text.first_number(F.col("addr")).alias("house"))
+    return pairs.join(own, "cand")
+
+
+def r6(column):
+    return F.round(column, 6)
+
+
+# ---- records and text -------------------------------------------------------------------------------------------
+
+
+@query
+def er_view(spark, sf):
+    return er(spark, sf).select("entity_id", "src", "country", "name", "addr")
+
+
+@query
+def gt_explode(spark, sf):
+    rows = er(spark, sf)
+    lists = records.id_lists(s1_of(rows), records.er_truth(rows), "matched_entity_ids")
+    return records.explode_truth(lists)
+
+
+@query
+def submission_lists(spark, sf):
+    rows = er(spark, sf)
+    return records.id_lists(s1_of(rows), candidates(spark, sf).where("rank <= 3").select("s1", "cand"), "matched_entity_ids")
+
+
+@query
+def validator_report(spark, sf):
+    rows = er(spark, sf)
+    own, found = s1_of(rows), candidates(spark, sf)
+    lists = records.id_lists(own.where("doc_id % 10 <> 1"), found.where("rank <= 2"), "matched_entity_ids")
+    # violations on purpose: a repeated entity, a repeated id, a self match, a bad prefix, an unknown entity
+    bad = spark.createDataFrame([("S1-x", "S2-1,S2-1"), ("S1-x", "S1-9"), ("S1-y", "Q-1"), ("", "S2-00000002")], "source1_entity_id string, matched_entity_ids string")
+    return records.validate_lists(lists.unionByName(bad), found.where("rank <= 1"), own, pool_of(rows))
+
+
+@query
+def sample_nested(spark, sf):
+    return records.sample_entities(s1_of(er(spark, sf)).select("entity_id"), 50)
+
+
+@query
+def records_by_id(spark, sf):
+    rows = er(spark, sf)
+    return records.records_by_id(rows, candidates(spark, sf).where("rank = 1").select(F.col("cand").alias("entity_id"))).select("entity_id", "src", "name")
+
+
+@query
+def clean_text(spark, sf):
+    return er(spark, sf).select("entity_id", text.clean(F.col("name")).alias("name_clean"), text.clean(F.col("addr")).alias("addr_clean"))
+
+
+@query
+def core_tokens(spark, sf):
+    n, a = F.col("name"), F.col("addr")
+    return er(spark, sf).select("entity_id", text.core_name(n).alias("core_name"), text.norm_addr(a).alias("norm_addr"), text.core_addr(a).alias("core_addr"), text.blob(n, a).alias("blob"))
+
+
+@query
+def numeric_tokens(spark, sf):
+    body = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(text.numeric_tokens(body)), ",").alias("numbers"), text.first_number(body).alias("first_number"))
+
+
+@query
+def legal_form(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.legal_form(F.col("text")).alias("legal"))
+
+
+@query
+def acronym(spark, sf):
+    return er(spark, sf).select("entity_id", text.acronym(F.col("name")).alias("acronym"))
+
+
+@query
+def script_class(spark, sf):
+    return er(spark, sf).groupBy(text.script_class(F.col("name")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def domain_stem(spark, sf):
+    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
+    return table(spark, sf, "pages").select("page_id", text.domain_stem(host).alias("stem"))
+
+
+@query
+def skeleton(spark, sf):
+    return er(spark, sf).select("entity_id", text.skeleton(text.translit_core(F.col("name"))).alias("skel"))
+
+
+@query
+def canonical_names(spark, sf):
+    return er(spark, sf).select("entity_id", text.canonical_name(F.col("name")).alias("n")).select("entity_id", "n.*")
+
+
+@query
+def collapse_letters(spark, sf):
+    return er(spark, sf).select("entity_id", F.array_join(text.name_tokens(F.col("name")), " ").alias("words"))
+
+
+@query
+def parse_address(spark, sf):
+    sample = spark.createDataFrame([(-1, "No. 12-4, 3rd Main Rd, Near Park, Bangalore, KA 560001", "India"), (-2, "0045 W Oak St Apt 7B, Springfield, IL 62704", "US"), (-3, "12 bis r de la Paix, 59000 Lille", "France")], "id long, addr string, country string")
+    rows = er(spark, sf).select(F.col("doc_id").alias("id"), "addr", "country").unionByName(sample)
+    return addresses.parse_addresses(rows)
+
+
+# ---- retrieval ----------------------------------------------------------------------------------------------------
+
+
+@query
+def token_df(spark, sf):
+    return retrieval.document_frequency(retrieval.token_counts(as_texts(pool_of(er(spark, sf))), retrieval.word_tokens(F.col("text"))), ("part",))
+
+
+@query
+def tfidf_weights(spark, sf):
+    pool = as_texts(pool_of(er(spark, sf)))
+    counts = retrieval.token_counts(pool, retrieval.word_tokens(F.col("text")))
+    return retrieval.tfidf_weights(counts, retrieval.idf_table(pool, counts)).select("id", "token", F.round("w", 9).alias("w"))
+
+
+@query
+def tfidf_topk(spark, sf):
+    return candidates(spark, sf)
+
+
+@query
+def tfidf_reverse_topk(spark, sf):
+    rows = er(spark, sf)
+    return retrieval.tfidf_top_k(as_texts(s1_of(rows)), as_texts(pool_of(rows)), 5, retrieval.word_tokens(F.col("text")), reverse=True)
+
+
+def names_only(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("entity_id").alias("id"), F.col("country").alias("part"), F.col("name").alias("text"))
+
+
+def gram_candidates(spark, sf, k=5):
+    rows = er(spark, sf)
+    return retrieval.tfidf_top_k(names_only(s1_of(rows)), names_only(pool_of(rows)), k, retrieval.char_grams(F.col("text")), max_df=0.05)
+
+
+@query
+def char_trigram_topk(spark, sf):
+    return gram_candidates(spark, sf)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    core, addr = text.core_name(F.col("name")), text.core_addr(F.col("addr"))
+    return rows.select(F.col("entity_id").alias("id"), F.col("country").alias("part"), core.alias("k_name"), addr.alias("k_addr"), text.acronym(F.col("name")).alias("k_acronym"))
+
+
+@query
+def exact_key_block(spark, sf):
+    rows = er(spark, sf)
+    return retrieval.exact_key_pairs(keyed(s1_of(rows)), keyed(pool_of(rows)), {"k_name": 1, "k_addr": 2, "k_acronym": 4}, cap=30)
+
+
+@query
+def key_pool_cap(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("key"), F.col("p_brand").alias("part"))
+    return retrieval.pool_cap(parts, ("part", "key"), 4)
+
+
+def sibling_key(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("entity_id").alias("id"), F.col("country").alias("part"), F.substring_index(text.core_name(F.col("name")), " ", 2).alias("key"))
+
+
+def siblings(spark, sf):
+    return retrieval.sibling_pairs(candidates(spark, sf), sibling_key(pool_of(er(spark, sf))), top=3, cap=20)
+
+
+@query
+def sibling_expand(spark, sf):
+    return siblings(spark, sf)
+
+
+@query
+def direct_key_lookup(spark, sf):
+    rows = er(spark, sf)
+    return retrieval.direct_key_pairs(sibling_key(s1_of(rows)), sibling_key(pool_of(rows)), cap=20)
+
+
+def united(spark, sf):
+    rows = er(spark, sf)
+    back = retrieval.tfidf_top_k(as_texts(s1_of(rows)), as_texts(pool_of(rows)), 5, retrieval.word_tokens(F.col("text")), reverse=True)
+    return retrieval.union_blockers({"a": candidates(spark, sf), "b": gram_candidates(spark, sf), "r": back})
+
+
+@query
+def blocker_union(spark, sf):
+    return united(spark, sf)
+
+
+@query
+def extras_antijoin(spark, sf):
+    return retrieval.extras(siblings(spark, sf), candidates(spark, sf))
+
+
+@query
+def fill_similarity(spark, sf):
+    rows = er(spark, sf)
+    pool, own = as_texts(pool_of(rows)), as_texts(s1_of(rows))
+    counts = retrieval.token_counts(pool, retrieval.word_tokens(F.col("text")))
+    idf = retrieval.idf_table(pool, counts)
+    weights = retrieval.tfidf_weights(retrieval.token_counts(own, retrieval.word_tokens(F.col("text"))), idf)
+    new = retrieval.extras(siblings(spark, sf), candidates(spark, sf))
+    return retrieval.keep_best(retrieval.fill_similarity(new, weights, retrieval.tfidf_weights(counts, idf)), 3)
+
+
+@query
+def recall_at_k(spark, sf):
+    return retrieval.recall_at(candidates(spark, sf), records.er_truth(er(spark, sf)), (1, 2, 5, 10))
+
+
+@query
+def recall_by_country(spark, sf):
+    rows = er(spark, sf)
+    return retrieval.recall_by(candidates(spark, sf), records.er_truth(rows), s1_of(rows).select(F.col("entity_id").alias("s1"), F.col("country").alias("slice")), 5)
+
+
+@query
+def pass_marginal_recall(spark, sf):
+    return retrieval.marginal_recall(united(spark, sf), records.er_truth(er(spark, sf)), ("a", "b", "r"))
+
+
+@query
+def orphans(spark, sf):
+    return retrieval.orphans(s1_of(er(spark, sf)).select(F.col("entity_id").alias("id")), candidates(spark, sf))
+
+
+@query
+def recall_ceiling(spark, sf):
+    rows = retrieval.recall_at(candidates(spark, sf), records.er_truth(er(spark, sf)), (1, 10))
+    return rows.select("k", r6(retrieval.ceiling(F.col("recall"))).alias("ceiling"))
+
+
+@query
+def embedding_knn(spark, sf):
+    return retrieval.dense_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 7, 5)
+
+
+# ---- pair features --------------------------------------------------------------------------------------------------
+
+
+def pair_frame(spark, sf):
+    rows = text.record_forms(er(spark, sf))
+    return candidates(spark, sf).where("rank <= 5").select("s1", "cand", "block_sim"), s1_of(rows), pool_of(rows)
+
+
+@query
+def pair_features_sets(spark, sf):
+    out = features.pair_features(*pair_frame(spark, sf), kernels=False).drop("skel_eq", "either_native")
+    return out.select("s1", "cand", "block_sim", *[r6(F.col(c)).alias(c) for c in out.columns[3:]])
+
+
+@query
+def pair_features_v1(spark, sf):
+    return features.pair_features(*pair_frame(spark, sf))
+
+
+@query
+def levenshtein_feats(spark, sf):
+    pairs, s1, pool = pair_frame(spark, sf)
+    rows = features.with_records(pairs, s1, pool, ("core_name",))
+    a, b = F.col("l_core_name"), F.col("r_core_name")
+    longest = F.greatest(F.length(a), F.length(b))
+    d = F.levenshtein(a, b)
+    return rows.select("s1", "cand", d.cast("long").alias("lev"), r6(F.when(longest == 0, 1.0).otherwise(1 - d / F.when(longest == 0, 1).otherwise(longest))).alias("lev_sim"))
+
+
+@query
+def jaro_winkler(spark, sf):
+    pairs, s1, pool = pair_frame(spark, sf)
+    rows = features.with_records(pairs, s1, pool, ("acronym",))
+    return rows.select("s1", "cand", r6(similarity.kernel("jw")(F.col("l_acronym"), F.col("r_acronym"))).alias("jw"))
+
+
+@query
+def token_sort_ratio(spark, sf):
+    pairs, s1, pool = pair_frame(spark, sf)
+    rows = features.with_records(pairs, s1, pool, ("core_name",))
+    args = (F.col("l_core_name"), F.col("r_core_name"))
+    return rows.select("s1", "cand", *[r6(similarity.kernel(k)(*args)).alias(k) for k in ("ratio", "token_sort", "token_set", "partial")])
+
+
+@query
+def set_kernel(spark, sf):
+    out = features.set_details(*pair_frame(spark, sf))
+    return out.select("s1", "cand", *[F.col(c).cast("long").alias(c) for c in ("inter", "size_a", "size_b")], *[r6(F.col(c)).alias(c) for c in ("jacc", "cont_a", "cont_b")])
+
+
+@query
+def idf_overlap(spark, sf):
+    return features.idf_overlap(*pair_frame(spark, sf))
+
+
+@query
+def name_frequency(spark, sf):
+    return features.frequency_features(*pair_frame(spark, sf))
+
+
+@query
+def number_features(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("a"), F.col("o_custkey").cast("string").alias("b"))
+    return rows.select("o_orderkey", similarity.number_difference(F.col("a"), F.col("b")).alias("d")).select("o_orderkey", r6(F.col("d.log_gap")).alias("log_gap"), r6(F.col("d.relative_gap")).alias("relative_gap"), F.col("d.is_prefix"))
+
+
+@query
+def best_variant(spark, sf):
+    rows = er(spark, sf)
+    both = lambda r, name: r.select(F.col("entity_id").alias(name), F.explode(F.array_distinct(F.array(text.core_name(F.col("name")), text.core_addr(F.col("addr"))))).alias("variant"))
+    jac = lambda a, b: r6(similarity.jaccard(F.array_distinct(text.tokens(a)), F.array_distinct(text.tokens(b))))
+    pairs = candidates(spark, sf).where("rank <= 3")
+    return features.best_variant(pairs, both(s1_of(rows), "s1"), both(pool_of(rows), "cand"), jac)
+
+
+@query
+def rank_features(spark, sf):
+    out = context.rank_features(candidates(spark, sf).select("s1", "cand", "block_sim"), "block_sim")
+    return out.select("s1", "cand", "rank_in_entity", "max_in_entity", F.round("gap_to_best", 9).alias("gap_to_best"), "n_candidates", "is_best")
+
+
+# ---- context --------------------------------------------------------------------------------------------------------
+
+
+@query
+def claims(spark, sf):
+    return context.claims(scored(spark, sf).select("s1", "cand", "p")).withColumn("claim_gap", r6(F.col("claim_gap"))).drop("p")
+
+
+@query
+def entity_shape(spark, sf):
+    out = context.entity_shape(scored(spark, sf).select("s1", "cand", "p"))
+    return out.select("s1", "cand", "p_rank", *[r6(F.col(c)).alias(c) for c in ("p_gap", "sum_p", "p_second", "p_share")], "n_candidates", "n_strong")
+
+
+@query
+def best_other_margin(spark, sf):
+    return context.best_other(scored(spark, sf).select("s1", "cand", "p")).select("s1", "cand", r6(F.col("best_other")).alias("best_other"), r6(F.col("margin")).alias("margin"))
+
+
+@query
+def gang(spark, sf):
+    pairs = with_record(scored(spark, sf), er(spark, sf)).withColumn("key", F.left("key", F.lit(2)))
+    return context.gang(pairs.select("s1", "cand", "p", "key"), "key").select("s1", "cand", "gang_n", r6(F.col("gang_max")).alias("gang_max"))
+
+
+@query
+def twins(spark, sf):
+    pairs = with_record(scored(spark, sf), er(spark, sf)).withColumn("key", F.left("key", F.lit(1))).withColumn("house", (number("cand") % 3).cast("string"))
+    return context.twins(pairs.select("s1", "cand", "p", "key", "house"), "key", "house").select("s1", "cand", "twin_n", "twin_flag", r6(F.col("twin_gap")).alias("twin_gap"))
+
+
+@query
+def agreement(spark, sf):
+    pairs = with_record(scored(spark, sf), er(spark, sf)).withColumn("key", F.left("key", F.lit(1)))
+    return context.agreement(pairs.select("s1", "cand", "p", "key"), "key").select("s1", "cand", "n_peers", "n_agree", r6(F.col("best_agree")).alias("best_agree"))
+
+
+@query
+def within_source(spark, sf):
+    pairs = with_record(scored(spark, sf), er(spark, sf))
+    return context.within_source(pairs.select("s1", "cand", "p", "src")).select("s1", "cand", "src", "n_strong_source", "rank_in_source")
+
+
+@query
+def score_merge(spark, sf):
+    pairs = scored(spark, sf).select("s1", "cand", "p")
+    half = lambda m: pairs.where((number("s1") + number("cand")) % m != 0)
+    merged = context.merge_scores(pairs, {"x": half(2).select("s1", "cand", F.col("p").alias("score")), "y": half(3).select("s1", "cand", (F.lit(1.0) - F.col("p")).alias("score"))})
+    return merged.select("s1", "cand", r6(F.col("ce")).alias("ce"), "ce_rank", r6(F.col("ce_gap")).alias("ce_gap"))
+
+
+@query
+def contention_means(spark, sf):
+    return context.contention(candidates(spark, sf))
+
+
+@query
+def pseudo_labels(spark, sf):
+    return context.pseudo_labels(scored(spark, sf).select("s1", "cand", "p"), high=0.9, low=0.2, margin=0.2, share=0.25)
+
+
+@query
+def hard_negatives(spark, sf):
+    return context.hard_negatives(sampling.label(scored(spark, sf).select("s1", "cand", "p"), records.er_truth(er(spark, sf))))
+
+
+@query
+def score_band(spark, sf):
+    return context.score_band(scored(spark, sf).select("s1", "cand", "p"), 0.2, 0.9, 4).select("s1", "cand")
+
+
+@query
+def logit_adjust(spark, sf):
+    return scored(spark, sf).select("s1", "cand", r6(context.affine_log_odds(F.col("p"), 1.3, -0.4)).alias("p_adjusted"))
+
+
+# ---- decisions ------------------------------------------------------------------------------------------------------
+
+
+@query
+def assign_hard(spark, sf):
+    return decision.assign(scored(spark, sf).select("s1", "cand", "p"), "hard").select("s1", "cand")
+
+
+@query
+def assign_soft(spark, sf):
+    return decision.assign(scored(spark, sf).select("s1", "cand", "p"), "soft").select("s1", "cand", r6(F.col("p")).alias("p"))
+
+
+@query
+def one_to_one_delta(spark, sf):
+    return decision.one_to_one(scored(spark, sf).select("s1", "cand", "p"), 0.05).select("s1", "cand")
+
+
+@query
+def select_threshold(spark, sf):
+    return decision.select_threshold(scored(spark, sf), 0.75).select("s1", "cand")
+
+
+@query
+def expected_f(spark, sf):
+    return decision.expected_f(scored(spark, sf).select("s1", "cand", "p"), 0.1).select("s1", "cand")
+
+
+@query
+def expected_f_exact(spark, sf):
+    return decision.expected_f_exact(scored(spark, sf).select("s1", "cand", "p"), 0.1).select("s1", "cand")
+
+
+@query
+def expected_f_joint(spark, sf):
+    return decision.expected_f_joint(scored(spark, sf).select("s1", "cand", "p")).select("s1", "cand")
+
+
+@query
+def decide_by_country(spark, sf):
+    pairs = with_record(scored(spark, sf), er(spark, sf)).select("s1", "cand", "p", F.col("country").alias("slice"))
+    params = spark.createDataFrame([("fr", 0.9, None, 0.1, 0.6), ("de", None, 0.5, None, None)], "slice string, a double, b double, delta double, threshold double")
+    return decision.decide_by_slice(pairs, params, {"a": 1.1, "b": -0.2, "delta": 0.0, "threshold": 0.5}).select("s1", "cand", "slice", r6(F.col("p")).alias("p"))
+
+
+def entities(rows: DataFrame) -> DataFrame:
+    return s1_of(rows).select(F.col("entity_id").alias("s1"), F.col("country").alias("slice"))
+
+
+@query
+def decision_grid(spark, sf):
+    rows = er(spark, sf)
+    return decision.decision_grid(scored(spark, sf).select("s1", "cand", "p"), records.er_truth(rows), entities(rows), ("none", "hard", "soft"), (0.25, 0.5, 0.75, 0.9), (0.0, 0.4))
+
+
+def chosen(spark, sf):
+    rows = er(spark, sf)
+    return decision.entity_scores(entities(rows), records.er_truth(rows), candidates(spark, sf).where("block_sim >= 0.6"))
+
+
+@query
+def macro_f05(spark, sf):
+    return decision.macro_f(chosen(spark, sf))
+
+
+@query
+def entity_f05(spark, sf):
+    return chosen(spark, sf).select("s1", "n_true", "n_pred", "tp", r6(F.col("f")).alias("f"))
+
+
+@query
+def score_breakdown(spark, sf):
+    return decision.score_breakdown(chosen(spark, sf))
+
+
+@query
+def rate_stats(spark, sf):
+    return decision.rates(entities(er(spark, sf)), candidates(spark, sf).where("block_sim >= 0.6"))
+
+
+# ---- learning, sampling, diagnostics -------------------------------------------------------------------------------
+
+
+@query
+def hash_folds(spark, sf):
+    return sampling.hash_folds(s1_of(er(spark, sf)).select("entity_id"), "entity_id")
+
+
+@query
+def inner_stop_group(spark, sf):
+    return s1_of(er(spark, sf)).select("entity_id", sampling.inner_stop_group(F.col("doc_id")).alias("stop"))
+
+
+@query
+def stratified_sample(spark, sf):
+    return sampling.stratified_sample(er(spark, sf).select("entity_id", "country"), "country", "entity_id", 20)
+
+
+@query
+def holdout_sample(spark, sf):
+    rows = entities(er(spark, sf)).select("s1")
+    return sampling.holdout(rows, records.sample_entities(rows.withColumnRenamed("s1", "entity_id"), 50).withColumnRenamed("entity_id", "s1"), 30)
+
+
+@query
+def neg_downsample_weights(spark, sf):
+    rows = sampling.label(candidates(spark, sf), records.er_truth(er(spark, sf)))
+    return sampling.thin_negatives(rows, 10, 3).select("s1", "cand", "y", "weight")
+
+
+def with_source(spark, sf):
+    rows = er(spark, sf)
+    return scored(spark, sf).drop("rank").join(rows.select(F.col("entity_id").alias("cand"), "src"), "cand").select("s1", "cand", "src", "p")
+
+
+@query
+def prune_rule(spark, sf):
+    return learned.prune(with_source(spark, sf), 0.1, 4, 3).select("s1", "cand", "rank", "rank_in_source")
+
+
+@query
+def best_s1_addback(spark, sf):
+    pairs = with_source(spark, sf)
+    return learned.add_back_best(learned.prune(pairs, 0.6, 2, 1), pairs).select("s1", "cand")
+
+
+@query
+def prune_grid(spark, sf):
+    truth = records.er_truth(er(spark, sf))
+    return learned.prune_grid(sampling.label(scored(spark, sf), truth), truth.count(), (1, 3, 10), (0.0, 0.3, 0.6))
+
+
+@query
+def ensemble_logit(spark, sf):
+    rows = scored(spark, sf).withColumn("q", F.col("block_sim"))
+    return rows.select("s1", "cand", r6(learned.blend(rows, {"p": 2.0, "q": 1.0})).alias("logit_mean"), r6(learned.blend(rows, {"p": 2.0, "q": 1.0}, "mean")).alias("mean"))
+
+
+@query
+def score_agreement(spark, sf):
+    return learned.score_agreement(scored(spark, sf).select("p", F.col("block_sim").alias("q")), "p", "q")
+
+
+@query
+def percentile_profile(spark, sf):
+    rows = er(spark, sf)
+    q = F.percentile(F.length("name").cast("double"), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    out = rows.groupBy("country").agg(F.count(F.lit(1)).alias("n"), q.alias("q"), F.count_distinct("name").alias("names"), F.count_if(F.col("addr") == "").alias("empty_addr"))
+    return out.select("country", "n", *[r6(F.get("q", i)).alias(c) for i, c in enumerate(("p10", "p50", "p90"))], "names", "empty_addr")
+
+
+@query
+def country_diagnosis(spark, sf):
+    """Per country: candidates per entity, similarity of the first, and its lead over the second."""
+    rows = candidates(spark, sf).join(entities(er(spark, sf)), "s1")
+    per = rows.groupBy("slice", "s1").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("rank") == 1, F.col("block_sim"))).alias("first"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("block_sim"))), F.lit(0.0)).alias("second"))
+    return per.groupBy("slice").agg(F.count(F.lit(1)).alias("entities"), r6(F.avg("n")).alias("mean_candidates"), r6(F.avg("first")).alias("mean_first"), r6(F.avg(F.col("first") - F.col("second"))).alias("mean_lead"))
+
+
+@query
+def state_fill(spark, sf):
+    rows = er(spark, sf).select(F.col("entity_id").alias("id"), "country", F.slice(text.tokens(text.clean(F.col("name"))), 1, 3).alias("locs"), F.when(F.col("doc_id") % 2 == 0, F.left(text.clean(F.col("name")), F.lit(1))).otherwise("").alias("state"))
+    return learned.fill_state(rows, learned.state_table(rows, 3, 0.6)).select("id", "state")
+
+
+@query
+def token_dictionary(spark, sf):
+    rows = er(spark, sf)
+    words = lambda r, a, b: r.select(F.col("entity_id").alias(a), text.tokens(text.clean(F.col("name"))).alias(b))
+    pairs = candidates(spark, sf).where("rank = 1").join(words(s1_of(rows), "s1", "target"), "s1").join(words(pool_of(rows), "cand", "source"), "cand")
+    return learned.token_dictionary(pairs)
+
+
+@query
+def word_costs(spark, sf):
+    rows = s1_of(er(spark, sf)).select(F.explode(text.name_tokens(F.col("name"))).alias("word"))
+    return learned.word_costs(rows).select("word", r6(F.col("cost")).alias("cost"))
+
+
+@query
+def segment_domain(spark, sf):
+    rows = er(spark, sf)
+    costs = learned.word_costs(s1_of(rows).select(F.explode(text.name_tokens(F.col("name"))).alias("word")))
+    joined = pool_of(rows).select(F.col("entity_id").alias("id"), F.array_join(F.slice(text.name_tokens(F.col("name")), 1, 4), "").alias("text"))
+    return learned.segment(joined, costs)
+
+
+@query
+def isotonic(spark, sf):
+    rows = sampling.label(candidates(spark, sf), records.er_truth(er(spark, sf))).withColumn("fold", (number("s1") % 3).cast("int")).withColumn("p", F.col("block_sim"))
+    return learned.crossfit_isotonic(rows.select("s1", "cand", "p", "y", "fold"), 3).select("s1", "cand", "calibrated")
+
+
+@query
+def temperature(spark, sf):
+    rows = sampling.label(candidates(spark, sf), records.er_truth(er(spark, sf))).select(F.col("block_sim").alias("p"), "y")
+    return spark.createDataFrame([(learned.fit_temperature(rows),)], "temperature double")
+
+
+@query
+def gbt_stage1(spark, sf):
+    pairs, s1, pool = pair_frame(spark, sf)
+    rows = sampling.label(features.pair_features(pairs, s1, pool, kernels=False), records.er_truth(er(spark, sf)))
+    rows = rows.withColumns({"number": number("s1"), "fold": (number("s1") % 2).cast("int")})
+    trees = learned.FoldTrees(["block_sim", "core_jaccard", "addr_jaccard", "core_len_diff", "addr_len_diff"], folds=2, rounds=5, depth=3).fit(rows)
+    return trees.score(rows).select("s1", "cand", "p")
+
+
+@query
+def link_plan(spark, sf):
+    """The whole plan: retrieve, score by similarity, assign records one to one, decide per entity, write lists."""
+    from kinloom.plans.linkage import link
+
+    return link(er(spark, sf))
