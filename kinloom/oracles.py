@@ -321,3 +321,59 @@ oracle(
   SELECT unnest(a) AS target, unnest(b) AS source FROM (SELECT list_filter(string_split({clean('x.name')}, ' '), lambda w: w <> '') AS a, list_filter(string_split({clean('y.name')}, ' '), lambda w: w <> '') AS b FROM cands c JOIN er x ON c.s1 = x.entity_id JOIN er y ON c.cand = y.entity_id WHERE c.rank = 1) WHERE len(a) = len(b)) GROUP BY 1, 2) GROUP BY source) WHERE n >= 2 AND n >= 0.5 * total""",
 )
 oracle("word_costs", "SELECT word, round(-ln(n::DOUBLE / total), 6) AS cost FROM (SELECT word, count(*) AS n, sum(count(*)) OVER () AS total FROM (SELECT unnest(toks) AS word FROM runs WHERE src = 1) WHERE regexp_matches(word, '^\\p{L}+$') GROUP BY word) WHERE (n >= 2 AND length(word) >= 2) OR word = 'a'")
+_leet = "CASE WHEN regexp_matches(w, '^\\d+(st|nd|rd|th)$') OR regexp_matches(w, '^\\p{Nd}+$') OR regexp_matches(w, '^\\p{L}+$') THEN w ELSE translate(w, '01568', 'olsgb') END"
+_canon = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in t.SUFFIX_CANON.items()) + "}"
+_forms = lit(dict.fromkeys(t.SUFFIX_CANON.values()))
+oracle(
+    "canonical_names",
+    f"""SELECT entity_id, {joined('whole')} AS "full", {joined('kept')} AS core, {joined('list_sort(list_distinct(kept))')} AS key, {joined(f'list_sort(list_distinct(list_filter(whole, lambda w: list_contains({_forms}, w))))')} AS legal FROM (
+  SELECT *, CASE WHEN len(core) > 0 THEN core WHEN len(bare) > 0 THEN bare ELSE whole END AS kept FROM (SELECT *, list_filter(bare, lambda w: NOT list_contains({_forms}, w)) AS core FROM (SELECT *, list_filter(whole, lambda w: NOT list_contains({lit(t.NAME_STOPWORDS)}, w)) AS bare FROM (
+    SELECT entity_id, list_transform(list_transform(toks, lambda w: {_leet}), lambda w: coalesce({_canon}[w], w)) AS whole FROM runs))))""",
+)
+CTES["lists"] = """SELECT e.entity_id AS s1, coalesce(string_agg(c.cand, ',' ORDER BY c.cand), '') AS list FROM s1 e LEFT JOIN cands c ON e.entity_id = c.s1 AND c.rank <= 2 WHERE e.doc_id % 10 <> 1 GROUP BY 1
+  UNION ALL VALUES ('S1-x', 'S2-1,S2-1'), ('S1-x', 'S1-9'), ('S1-y', 'Q-1'), ('', 'S2-00000002')"""
+CTES["cells"] = "SELECT * FROM (SELECT s1, unnest(string_split(list, ',')) AS cand FROM lists) WHERE cand <> ''"
+oracle(
+    "validator_report",
+    """SELECT 'malformed_row' AS rule, count(*) AS n FROM lists WHERE s1 = '' OR contains(list, chr(9))
+UNION ALL SELECT 'duplicate_entity', count(*) FROM (SELECT s1 FROM lists GROUP BY s1 HAVING count(*) > 1)
+UNION ALL SELECT 'duplicate_id_in_list', count(*) FROM (SELECT s1, cand FROM cells GROUP BY s1, cand HAVING count(*) > 1)
+UNION ALL SELECT 'self_match', count(*) FROM cells WHERE starts_with(cand, 'S1-')
+UNION ALL SELECT 'wrong_prefix', count(*) FROM cells WHERE NOT regexp_matches(cand, '^S[123]-')
+UNION ALL SELECT 'missing_entity', count(*) FROM s1 WHERE entity_id NOT IN (SELECT s1 FROM lists)
+UNION ALL SELECT 'unknown_entity', count(DISTINCT s1) FROM lists WHERE s1 NOT IN (SELECT entity_id FROM s1)
+UNION ALL SELECT 'unknown_id', count(*) FROM cells WHERE cand NOT IN (SELECT entity_id FROM pool)
+UNION ALL SELECT 'not_a_candidate', count(*) FROM (SELECT DISTINCT s1, cand FROM cells) x ANTI JOIN (SELECT s1, cand FROM cands WHERE rank = 1) y USING (s1, cand)""",
+)
+CTES["alone"] = "SELECT s1, cand, p FROM (SELECT s1, cand, p, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS rn, nth_value(p, 2) OVER (PARTITION BY cand ORDER BY p DESC, s1 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM (SELECT s1, cand, least(block_sim, 1.0) AS p FROM cands)) WHERE rn = 1 AND p - coalesce(second, 0) >= 0.01"
+oracle("link_plan", f"SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(x.cand, ',' ORDER BY x.cand), '') AS matched_entity_ids FROM s1 e LEFT JOIN (SELECT v.s1, v.cand FROM ({_expected('alone', 0.05)}) v JOIN alone a ON v.s1 = a.s1 AND v.cand = a.cand WHERE a.p >= 0.5) x ON e.entity_id = x.s1 GROUP BY 1")
+oracle("missed_profile", "SELECT c.s1 IS NOT NULL AS found, e.country AS slice, count(*) AS n, count(*) FILTER (trim(e.addr) = '') AS empty_addr FROM gt g JOIN pool e ON g.cand = e.entity_id LEFT JOIN cands c ON g.s1 = c.s1 AND g.cand = c.cand AND c.rank <= 1 GROUP BY 1, 2")
+CTES["srcl"] = "SELECT p.*, CASE WHEN g.s1 IS NULL THEN 0 ELSE 1 END AS y FROM srcp p LEFT JOIN gt g ON p.s1 = g.s1 AND p.cand = g.cand"
+oracle(
+    "prune_losses",
+    "SELECT CASE WHEN p < 0.3 AND low THEN 'low p and low rank' WHEN p < 0.3 THEN 'low p only' WHEN low THEN 'low rank only' ELSE 'kept' END AS reason, CASE WHEN m <= 2 THEN '(-inf, 2]' WHEN m <= 5 THEN '(2, 5]' WHEN m <= 9 THEN '(5, 9]' ELSE '(9, inf]' END AS size_bin, count(*) AS n FROM (SELECT *, rank > 2 AND rank_in_source > 1 AS low FROM (SELECT *, count(*) OVER (PARTITION BY s1) AS m, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS rank, row_number() OVER (PARTITION BY s1, src ORDER BY p DESC, cand) AS rank_in_source FROM srcl)) WHERE y = 1 GROUP BY 1, 2",
+)
+_cell = lambda p: f"round(count(*) FILTER (rank <= k AND p >= {p} AND y = 1)::DOUBLE / {_total}, 6)"
+oracle("prune_pivot", f"SELECT k, {_cell(0.0)} AS recall_0_0, {_cell(0.3)} AS recall_0_3, {_cell(0.6)} AS recall_0_6 FROM labelled l, (SELECT unnest([1, 3, 10])::INTEGER AS k) a GROUP BY k")
+oracle("run_ranking", "SELECT *, name = 'a' AS winner FROM (SELECT name, holdout::DOUBLE AS holdout, oof::DOUBLE AS oof, valid, row_number() OVER (ORDER BY holdout IS NULL, coalesce(holdout, oof, 0) DESC, name)::INTEGER AS place FROM (VALUES ('a', 0.951, 0.962, true), ('b', NULL, 0.99, true), ('c', 0.96, 0.955, false), ('d', 0.94, NULL, true), ('e', NULL, NULL, true)) v(name, holdout, oof, valid))")
+oracle("hardest_negatives", "SELECT s1, cand, block_sim, y FROM labelled WHERE y = 1 UNION ALL SELECT s1, cand, block_sim, y FROM (SELECT *, row_number() OVER (ORDER BY block_sim DESC, s1, cand) AS rn FROM labelled WHERE y = 0) WHERE rn <= 3 * (SELECT count(*) FROM labelled WHERE y = 1)")
+oracle(
+    "within_columns",
+    "SELECT s1, cand, w_rank, rn::INTEGER AS w_crank, sum((p > 0.5)::BIGINT) OVER own::BIGINT AS w_n05, sum((p > 0.5)::BIGINT) OVER (PARTITION BY cand)::BIGINT AS w_cn05, round(p - max(p) OVER own, 9) AS w_gap, round(sum(p) OVER own, 9) AS w_sum, round(p / sum(p) OVER own, 9) AS w_share, round(best_other, 9) AS w_other, round(p - best_other, 9) AS w_margin FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand)::INTEGER AS w_rank FROM others) WINDOW own AS (PARTITION BY s1)",
+)
+CTES["peer"] = "SELECT s.s1, s.cand, s.p, r.src, r.ads, (r.doc_id % 4)::VARCHAR AS house, row_number() OVER (PARTITION BY s.s1 ORDER BY s.p DESC, s.cand) AS rn FROM scored s JOIN rec r ON s.cand = r.entity_id"
+oracle(
+    "peer_agreement",
+    """SELECT s1, cand, round(max(pj * t), 6) AS ag_tokens, round(max(pj * h), 6) AS ag_house, round(max(pj * t) FILTER (other), 6) AS ag_other_tokens, round(max(pj * h) FILTER (other), 6) AS ag_other_house, round(avg(t) FILTER (pj > 0.5), 6) AS ag_tokens_mean FROM (
+  SELECT a.s1, a.cand, b.p AS pj, a.src <> b.src AS other, (a.house = b.house)::INTEGER::DOUBLE AS h, CASE WHEN b.cand IS NULL THEN NULL WHEN len(list_distinct(a.ads || b.ads)) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.ads, b.ads))::DOUBLE / len(list_distinct(a.ads || b.ads)) END AS t
+  FROM peer a LEFT JOIN peer b ON a.s1 = b.s1 AND a.cand <> b.cand AND b.rn <= 3) GROUP BY s1, cand""",
+)
+_freq = lambda cols, filled: f"CASE WHEN {filled} THEN round(ln(1 + count(*) OVER (PARTITION BY {cols})), 6) ELSE 0.0::DOUBLE END"
+oracle("group_frequencies", f"SELECT entity_id AS id, {_freq('country, core_name', 'core_name <> $$$$')} AS f_name, {_freq('country, acr', 'acr <> $$$$')} AS f_acronym, {_freq('country, core_name, acr', 'core_name <> $$$$ AND acr <> $$$$')} AS f_both FROM rec WHERE country <> ''")
+CTES["ntf"] = "SELECT id, src, part, state, token, count(*) AS tf FROM (SELECT entity_id AS id, src, country AS part, CASE WHEN doc_id % 5 = 0 THEN '' ELSE (coalesce(ascii(lower(name)), 0) % 3)::VARCHAR END AS state, unnest(list_filter(string_split(trim(regexp_replace(lower(name), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda w: w <> '')) AS token FROM er) GROUP BY ALL"
+CTES["nidf"] = "SELECT token, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1 AS idf FROM (SELECT token, count(*) AS df FROM ntf WHERE src <> 1 GROUP BY token), (SELECT count(*) AS n FROM pool) WHERE df >= 2 AND df <= 0.1::DOUBLE * n"
+CTES["nw"] = "SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM (SELECT id, src, part, state, token, (1.0::DOUBLE + ln(tf)) * idf AS raw FROM ntf JOIN nidf USING (token))"
+oracle(
+    "state_partition_topk",
+    "SELECT s1, cand, block_sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY block_sim DESC, cand)::INTEGER AS rank FROM (SELECT a.id AS s1, b.id AS cand, round(sum(a.w * b.w), 9) AS block_sim FROM nw a JOIN nw b ON a.src = 1 AND b.src <> 1 AND a.part = b.part AND a.token = b.token AND (a.state = b.state OR a.state = '' OR b.state = '') GROUP BY 1, 2)) WHERE rank <= 5",
+)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import similarity, text
-from kinloom.operators import addresses, context, decision, features, learned, retrieval, sampling
+from kinloom.operators import addresses, context, decision, diagnostics, features, learned, retrieval, sampling
 from kinloom.oracles import ORACLES  # noqa: F401
 from kinloom.sources import records
 
@@ -623,6 +623,73 @@ def country_diagnosis(spark, sf):
     return per.groupBy("slice").agg(F.count(F.lit(1)).alias("entities"), r6(F.avg("n")).alias("mean_candidates"), r6(F.avg("first")).alias("mean_first"), r6(F.avg(F.col("first") - F.col("second"))).alias("mean_lead"))
 
 
+@query
+def missed_profile(spark, sf):
+    rows = er(spark, sf)
+    own = pool_of(rows).select(F.col("entity_id").alias("cand"), "country", "name", "addr")
+    return diagnostics.missed_profile(records.er_truth(rows), candidates(spark, sf).where("rank <= 1"), own, F.col("country"))
+
+
+@query
+def prune_losses(spark, sf):
+    return diagnostics.prune_losses(sampling.label(with_source(spark, sf), records.er_truth(er(spark, sf))), 0.3, 2, 1)
+
+
+@query
+def prune_pivot(spark, sf):
+    return diagnostics.pivot_grid(prune_grid(spark, sf), (0.0, 0.3, 0.6))
+
+
+@query
+def run_ranking(spark, sf):
+    rows = [("a", 0.951, 0.962, True), ("b", None, 0.99, True), ("c", 0.96, 0.955, False), ("d", 0.94, None, True), ("e", None, None, True)]
+    return diagnostics.rank_runs(spark.createDataFrame(rows, "name string, holdout double, oof double, valid boolean"))
+
+
+@query
+def hardest_negatives(spark, sf):
+    return diagnostics.hardest_negatives(sampling.label(candidates(spark, sf), records.er_truth(er(spark, sf))))
+
+
+@query
+def within_columns(spark, sf):
+    out = diagnostics.within(scored(spark, sf).select("s1", "cand", "p"))
+    return out.select("s1", "cand", "w_rank", "w_crank", "w_n05", "w_cn05", *[F.round(c, 9).alias(c) for c in ("w_gap", "w_sum", "w_share", "w_other", "w_margin")])
+
+
+@query
+def peer_agreement(spark, sf):
+    rows = er(spark, sf)
+    own = pool_of(rows).select(F.col("entity_id").alias("cand"), "src", F.array_distinct(text.tokens(text.core_addr(F.col("addr")))).alias("addr_tokens"), (F.col("doc_id") % 4).cast("string").alias("house"))
+    return diagnostics.peer_agreement(scored(spark, sf), own)
+
+
+@query
+def peer_similarity(spark, sf):
+    own = pool_of(er(spark, sf)).select(F.col("entity_id").alias("cand"), text.core_name(F.col("name")).alias("core_name"), text.core_addr(F.col("addr")).alias("core_addr"))
+    return diagnostics.peer_similarity(scored(spark, sf).where("rank <= 4"), own)
+
+
+@query
+def group_frequencies(spark, sf):
+    rows = er(spark, sf).select(F.col("entity_id").alias("id"), "country", text.core_name(F.col("name")).alias("key"), text.acronym(F.col("name")).alias("acr"))
+    return diagnostics.group_frequencies(rows, {"f_name": ("country", "key"), "f_acronym": ("country", "acr"), "f_both": ("country", "key", "acr")})
+
+
+@query
+def state_partition_topk(spark, sf):
+    """Names compared within (country, state), with blank states compared with all of the country; the first letter's class stands for a state."""
+    state = F.when(F.col("doc_id") % 5 == 0, "").otherwise((F.ascii(F.lower("name")) % 3).cast("string"))
+    rows = er(spark, sf).select(F.col("entity_id").alias("id"), F.col("country").alias("part"), F.col("name").alias("text"), state.alias("state"), "src")
+    left, right = diagnostics.state_pairs(rows.where("src = 1"), rows.where("src <> 1"))
+    pool = rows.where("src <> 1").select("id", "part", "text")
+    words = retrieval.word_tokens(F.col("text"))
+    idf = retrieval.idf_table(pool, retrieval.token_counts(pool, words))
+    weigh = lambda d: retrieval.tfidf_weights(retrieval.token_counts(d.select("id", "part", "text").dropDuplicates(["id"]), words), idf).drop("part").join(d.select("id", "part"), "id")
+    pairs = retrieval.cosine_pairs(weigh(left), weigh(right))
+    return retrieval.top_pairs(pairs, 5).select(F.col("q").alias("s1"), F.col("c").alias("cand"), F.col("sim").alias("block_sim"), "rank")
+
+
 @query
 def state_fill(spark, sf):
     rows = er(spark, sf).select(F.col("entity_id").alias("id"), "country", F.slice(text.tokens(text.clean(F.col("name"))), 1, 3).alias("locs"), F.when(F.col("doc_id") % 2 == 0, F.left(text.clean(F.col("name")), F.lit(1))).otherwise("").alias("state"))
