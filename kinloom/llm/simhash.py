@@ -92,8 +92,11 @@ def _join_nodes(near: int, distance: int, columns: list[str]):
                     a, b = a[close], b[close]
                 forest.join(a, b)
         root = forest.roots()
-        child = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(table[child, 2]), pa.array(table[root[child], 2])], names=["a", "b"]) if len(child) else None
+        least = table[:, 2].copy()  # stars around the smallest id: other nodes with the same members give the same links
+        np.minimum.at(least, root, table[:, 2])
+        least = least[root]
+        child = np.flatnonzero(least != table[:, 2])
+        return pa.RecordBatch.from_arrays([pa.array(table[child, 2]), pa.array(least[child])], names=["a", "b"]) if len(child) else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -113,20 +116,23 @@ def _join_nodes(near: int, distance: int, columns: list[str]):
     return task
 
 
-def hamming_links(prints: DataFrame, size: int = 1, distance: int = 3, node_rows: int = 16_384) -> DataFrame:
-    """Spanning links (a, b) between ids of rows (id, print0, ...), distinct, that differ in at most ``distance`` bits; the components are exact."""
-    spark = prints.sparkSession
-    near, count, agree = distance // size, prints.count(), 2
-    while agree < 4 and count >> (64 * agree // (near + agree)) > node_rows:
-        agree += 1
-    masks = F.array(*[F.lit(m) for m in upper_masks(near, agree)])
-    names, under = [f"print{w}" for w in range(size)], None
+def _under(prints: DataFrame, masks: list[tuple[int, int]], size: int) -> DataFrame:
+    """(node, id, word0, ...): the rows under each upper node they match; a node is a word's number, a mask's number and the bits the mask fixes."""
+    out = None
     for w in range(size):
-        others = [F.col(n) for n in names if n != names[w]]
-        part = prints.select("id", F.col(names[w]).alias("word0"), *(c.alias(f"word{k}") for k, c in enumerate(others, 1)), F.posexplode(masks).alias("m", "mask"))
-        node = F.xxhash64(F.lit(w), "m", F.col("word0").bitwiseAND(F.col("mask")))
+        own = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(mask).alias("mask")) for m, (word, mask) in enumerate(masks) if word == w])
+        if not any(word == w for word, _ in masks):
+            continue
+        order = [w, *(k for k in range(size) if k != w)]
+        part = prints.select("id", *[F.col(f"print{k}").alias(f"word{i}") for i, k in enumerate(order)], F.explode(own).alias("x"))
+        node = F.xxhash64(F.lit(w), "x.m", F.col("word0").bitwiseAND(F.col("x.mask")))
         part = part.select(node.alias("node"), "id", *(f"word{k}" for k in range(size)))
-        under = part if under is None else under.unionByName(part)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _joined_nodes(under: DataFrame, size: int, near: int, distance: int, node_rows: int) -> DataFrame:
+    spark = under.sparkSession
     sizes = under.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > node_rows)
     crowded = stored(sizes.select(F.col("node").alias("crowded"), F.ceil(F.col("n") / node_rows).cast("int").alias("parts")), "crowded")
     columns = ["node", "side", "id", *(f"word{k}" for k in range(size))]
@@ -136,7 +142,8 @@ def hamming_links(prints: DataFrame, size: int = 1, distance: int = 3, node_rows
         both = under.join(crowded, under["node"] == crowded["crowded"], "left")
         whole = both.where("parts is null").withColumn("side", F.lit(2)).select(columns)
         # part p meets every part q: the pair's node is hashed from (node, min, max); alone, it is a whole node
-        parted = both.where("parts is not null").withColumn("p", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
+        own = F.pmod(F.xxhash64(F.lit(7), *(f"word{k}" for k in range(size))), F.col("parts")).cast("int")
+        parted = both.where("parts is not null").withColumn("p", own)
         parted = parted.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         side = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") < F.col("q"), 0).otherwise(1)
         parted = parted.withColumn("side", side).withColumn("node", F.xxhash64("node", F.least("p", "q"), F.greatest("p", "q")))
@@ -145,6 +152,26 @@ def hamming_links(prints: DataFrame, size: int = 1, distance: int = 3, node_rows
     return ordered.mapInArrow(_join_nodes(near, distance, columns), "a long, b long")
 
 
+def hamming_links(prints: DataFrame, size: int = 1, distance: int = 3, node_rows: int = 16_384) -> DataFrame:
+    """Links (a, b) between ids of rows (id, print0, ...), distinct, whose components are those of all pairs that differ in at most ``distance`` bits.
+
+    With many masks, a few go first; their components name the rows of the others, so a large group is linked once and not under every mask.
+    """
+    near, count, agree = distance // size, prints.count(), 2
+    while agree < 4 and count >> (64 * agree // (near + agree)) > node_rows:
+        agree += 1
+    masks = [(w, m) for m in upper_masks(near, agree) for w in range(size)]
+    first = len(masks) // 16
+    if not first:
+        return _joined_nodes(_under(prints, masks, size), size, near, distance, node_rows)
+    step = len(masks) // first
+    early = connected_components(_joined_nodes(_under(prints, masks[::step], size), size, near, distance, node_rows))
+    rest = [m for i, m in enumerate(masks) if i % step]
+    named = prints.join(early, prints["id"] == early["node"], "left").withColumn("id", F.coalesce("root", "id")).drop("node", "root")
+    late = _joined_nodes(_under(named, rest, size), size, near, distance, node_rows)
+    return early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late)
+
+
 def simhash_components(documents: DataFrame, words: int = 5, size: int = 2, distance: int = 21, node_rows: int = 16_384) -> DataFrame:
     """(doc_id, print0, ..., component_id): component_id is the smallest doc_id reachable by links."""
     names = [f"print{w}" for w in range(size)]
@@ -154,6 +181,6 @@ def simhash_components(documents: DataFrame, words: int = 5, size: int = 2, dist
     distinct = stored(rows.groupBy("id", *names).agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(hamming_links(distinct, size, distance, node_rows))
     named = distinct.join(found, distinct["id"] == found["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    heads = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "heads")  # stored, so that Spark can split the join of a large component
     by_id = named.join(heads, "root").select(F.col("id").alias("own"), "component_id")
     return rows.join(by_id, rows["id"] == by_id["own"]).select("doc_id", *names, "component_id")
