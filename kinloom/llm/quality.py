@@ -37,15 +37,18 @@ def _slot(name: str) -> int:
 
 
 class Features:
-    """Turns texts into sorted arrays of feature numbers; remembers words it has seen, up to a bound."""
+    """Turns texts into sorted arrays of feature numbers; remembers words it has seen, up to a bound. With weights, features of weight 0 are left out."""
 
-    def __init__(self):
+    def __init__(self, weights: np.ndarray | None = None):
+        self.weights = weights
         self.words: dict[str, tuple[tuple[int, ...], bool, bool, bool]] = {}
 
     def _word(self, raw: str) -> tuple[tuple[int, ...], bool, bool, bool]:
         core = raw.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…–—¡¿")
         signs = sum(not c.isalnum() for c in raw)
         slots = (_slot("w:" + core), *(_slot("b:" + core[:n]) for n in BEGINNINGS if len(core) > n))
+        if self.weights is not None:
+            slots = tuple(s for s in slots if self.weights[s])
         return slots, len(raw) > 1 and raw.upper() == raw and raw.lower() != raw, signs >= 2, any(c.isdigit() for c in raw)
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -59,7 +62,8 @@ class Features:
             found = known.get(word)
             if found is None:
                 found = known[word] = self._word(word)
-            slots.update(found[0])
+            if found[0]:
+                slots.update(found[0])
             if found[1]:
                 caps += n
             if found[2]:
@@ -146,7 +150,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade"))
 
 
-def train(documents: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: int = 16_384, l1: float = 1e-4) -> Ordinal | None:
+def train(documents: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: int = 12_288, l1: float = 1e-4) -> Ordinal | None:
     """Fits on a sample of ratings (doc_id, grade); the sample is bounded, so it may be broadcast and its features collected."""
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     usable = ratings.join(own.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
@@ -179,7 +183,7 @@ def score_documents(documents: DataFrame, model: Ordinal | None, least_tail: flo
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = Features(held.value.weights)
         for batch in batches:
             tails = held.value.tails(_scores(held.value, features, batch.column("text").to_pylist()))
             cols = [batch.column("doc_id"), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least_tail)]
@@ -196,7 +200,7 @@ def keep_good(documents: DataFrame, model: Ordinal | None, least_tail: float = 0
     place = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = Features(held.value.weights)
         for batch in batches:
             tails = held.value.tails(_scores(held.value, features, batch.column(place).to_pylist()))
             yield batch.filter(pc.greater_equal(pa.array(tails[:, -1]), least_tail))
