@@ -38,17 +38,16 @@ def document_frequency(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame
 
 def idf_table(pool: DataFrame, counts: DataFrame, min_df: int = 2, max_df: float = 0.1) -> DataFrame:
     """(token, idf): smooth idf over the pool's records, of tokens in at least min_df records and at most the share max_df of them."""
-    n = pool.agg(F.count(F.lit(1)).alias("n"))
-    df = document_frequency(counts).where(F.col("df") >= min_df)
-    inside = df.crossJoin(F.broadcast(n)).where(F.col("df") <= F.lit(max_df) * F.col("n"))  # one row: the number of records
-    return inside.select("token", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+    n = pool.count()  # counted first, so that the plan has a constant and no join for it
+    df = document_frequency(counts).where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n)))
+    return df.select("token", (F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
 
 def tfidf_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """(id, part, token, w): sublinear term frequency times idf, of unit length per record."""
     raw = counts.join(idf, "token").withColumn("raw", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "part", "token", (F.col("raw") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))  # a record's tokens: one shuffle instead of two and a join
+    return raw.select("id", "part", "token", (F.col("raw") / norm).alias("w"))
 
 
 def cosine_pairs(queries: DataFrame, index: DataFrame) -> DataFrame:
