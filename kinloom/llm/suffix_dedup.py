@@ -230,26 +230,36 @@ def _judge(length: int):
     """In a bucket: which strings of each segment also start in a document with an id below the segment's own smallest."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["sizes"]]
-        size = np.concatenate(sizes)
-        least = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["least"]])
-        text = np.frombuffer(b"".join(map(_unpacked, pdf["text"])) + bytes(PAD), np.uint8)
+        known: dict[bytes, int] = {}  # chunks that hold the same segment share it
+        numbers, leasts = [], []
+        for packed, sizes, least in zip(pdf["text"], pdf["sizes"], pdf["least"], strict=True):
+            data, stop = _unpacked(packed), np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64)
+            start = np.append(0, stop[:-1])
+            numbers.append(np.array([known.setdefault(data[x:y], len(known)) for x, y in zip(start.tolist(), stop.tolist(), strict=True)], np.int64))
+            leasts.append(np.frombuffer(least, np.int64))
+        number, least = np.concatenate(numbers), np.concatenate(leasts)
+        lowest = np.full(len(known), NO_ID)
+        np.minimum.at(lowest, number, least)
+        size = np.fromiter(map(len, known), np.int64, len(known))
+        text = np.frombuffer(b"".join(known) + bytes(PAD), np.uint8)
         begin, count = np.cumsum(size) - size, size - length + 1
         first = np.cumsum(count) - count
         place = np.repeat(begin - first, count) + np.arange(int(count.sum()))
-        own = np.repeat(least, count)
         chosen = np.zeros(len(text), bool)
         chosen[place] = True
         order = sorted_suffixes(text, chosen, length)
-        number = np.empty(len(text), np.int32)
-        number[place] = np.arange(len(place), dtype=np.int32)
-        string = number[order]
+        string = np.empty(len(text), np.int32)
+        string[place] = np.arange(len(place), dtype=np.int32)
+        string = string[order]
         starts = np.append(0, np.flatnonzero(~share_prefix(text, order, length)) + 1)
-        smallest = np.repeat(np.minimum.reduceat(own[string], starts), np.diff(np.append(starts, len(string))))
-        repeated = np.zeros(len(place), bool)
-        repeated[string] = smallest < own[string]
-        cut = np.cumsum([int((s - length + 1).sum()) for s in sizes])[:-1]
-        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "kind": 1, "data": [np.packbits(x).tobytes() for x in np.split(repeated, cut)]})
+        smallest = np.empty(len(place), np.int64)
+        smallest[string] = np.repeat(np.minimum.reduceat(np.repeat(lowest, count)[string], starts), np.diff(np.append(starts, len(string))))
+        data = []
+        for own, low in zip(numbers, leasts, strict=True):
+            n = count[own]
+            at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            data.append(np.packbits(smallest[at] < np.repeat(low, n)).tobytes())
+        return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "kind": 1, "data": data})
 
     return run
 
