@@ -4,7 +4,8 @@ Lines with content get ids; a document is a sequence of ids. Ranks of suffixes b
 rank of the pair (rank by k lines here, rank by k lines k places on). Ranks are places in a range-partitioned sort of the distinct
 pairs, so they order suffixes as a suffix array does; suffixes whose rank is unique share no longer prefix with another and leave. Doubling
 stops at the depth that decides, ``min_lines``: suffixes of equal rank there are exactly the intervals of the array whose adjacent common
-prefixes have at least ``min_lines`` lines (deeper ranks only split these). All but the first suffix of an interval, in order of doc_id
+prefixes have at least ``min_lines`` lines (deeper ranks only split these). With ``long_words``, a line of at least so many words is a run
+by itself, decided by the ranks of depth one. All but the first suffix of an interval, in order of doc_id
 and line, start a later copy, and the overlapping copies of a document join into its maximal repeated runs, which are deleted.
 
 Pairs are combined before they are shuffled, and ranks return by plain inner joins whose large partitions Spark splits, so a line that a third of the
@@ -25,24 +26,25 @@ from kinloom.llm.common import stored
 DOC = ("doc", "form")
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """(doc, form, pos, raw, a, b): a line with content, its place among those, its place among all lines, and its id (two hashes)."""
+def _lines(documents: DataFrame, long_words: int | None = None) -> DataFrame:
+    """(doc, form, pos, raw, a, b, long): a line with content, its place among those, its place among all lines, its id (two hashes), and whether it is a run by itself."""
     text = F.coalesce("text", F.lit(""))
-    ids = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("raw"), F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.trim(x) != "").alias("filled")))
+    long = lambda x: F.lit(False) if long_words is None else F.regexp_count(x, F.lit(r"\S+")) >= long_words
+    ids = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("raw"), F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.trim(x) != "").alias("filled"), long(x).alias("long")))
     docs = documents.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("form"), F.filter(ids, lambda x: x["filled"]).alias("ids"))
     docs = docs.dropDuplicates(["doc", "form"])
-    return docs.select("doc", "form", F.posexplode("ids").alias("pos", "x")).select("doc", "form", "pos", "x.raw", "x.a", "x.b")
+    return docs.select("doc", "form", F.posexplode("ids").alias("pos", "x")).select("doc", "form", "pos", "x.raw", "x.a", "x.b", "x.long")
 
 
 def _place() -> Column:
     return F.struct(F.col("doc").isNull(), "doc", "form", "pos")
 
 
-def _rank(suffixes: DataFrame) -> DataFrame:
+def _rank(suffixes: DataFrame, *more: str) -> DataFrame:
     """Suffixes whose pair (a, b) occurs more than once, with the pair's rank and the first place that has it."""
     pairs = suffixes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("first")).where(F.col("n") > 1)
     ranks = pairs.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("rank"), "first")
-    return stored(suffixes.join(ranks, ["a", "b"]).select(*DOC, "pos", "raw", "rank", (_place() > F.col("first")).alias("later")), "ranks")
+    return stored(suffixes.join(ranks, ["a", "b"]).select(*DOC, "pos", "raw", *more, "rank", (_place() > F.col("first")).alias("later")), "ranks")
 
 
 def _pairs(ranks: DataFrame, ahead: int) -> DataFrame:
@@ -51,23 +53,24 @@ def _pairs(ranks: DataFrame, ahead: int) -> DataFrame:
     return ranks.withColumn("b", there).where(F.col("b").isNotNull()).select(*DOC, "pos", "raw", F.col("rank").alias("a"), "b")
 
 
-def later_copies(documents: DataFrame, min_lines: int = 2) -> DataFrame:
+def later_copies(documents: DataFrame, min_lines: int = 2, long_words: int | None = None) -> DataFrame:
     """(doc, form, n_runs, removed): for each document that loses lines, the number of maximal runs and the places of the lines among all lines."""
-    ranks, depth = _rank(_lines(documents)), 1
-    lines = ranks.select(*DOC, "pos", "raw")
+    ranks, depth = _rank(_lines(documents, long_words), "long"), 1
+    lines, alone = ranks.select(*DOC, "pos", "raw"), ranks.where("long and later").select(*DOC, "pos")
     while depth < min_lines:
         ahead = min(depth, min_lines - depth)
         ranks, depth = _rank(_pairs(ranks, ahead)), depth + ahead
-    covered = ranks.where("later").select(*DOC, F.explode(F.sequence(F.col("pos"), F.col("pos") + min_lines - 1)).alias("pos")).distinct()
+    covered = ranks.where("later").select(*DOC, F.explode(F.sequence(F.col("pos"), F.col("pos") + min_lines - 1)).alias("pos"))
+    covered = (covered if long_words is None else covered.unionByName(alone)).distinct()
     gone = covered.join(lines, covered["doc"].eqNullSafe(lines["doc"]) & (covered["form"] == lines["form"]) & (covered["pos"] == lines["pos"]))
     gone = gone.select(covered["doc"], covered["form"], covered["pos"], "raw")
     new_run = F.when(F.col("pos") - F.lag("pos").over(Window.partitionBy(*DOC).orderBy("pos")) == 1, 0).otherwise(1)
     return gone.withColumn("new_run", new_run).groupBy(*DOC).agg(F.sum("new_run").alias("n_runs"), F.collect_set("raw").alias("removed"))
 
 
-def remove_repeated_lines(documents: DataFrame, min_lines: int = 2) -> DataFrame:
+def remove_repeated_lines(documents: DataFrame, min_lines: int = 2, long_words: int | None = None) -> DataFrame:
     """The documents with the repeated lines gone from text, and ``__line_n``, ``__line_removed`` and ``__line_runs``: lines with content, removed lines and maximal runs."""
-    gone = later_copies(documents, min_lines).withColumnsRenamed({"doc": "__line_doc", "form": "__line_form", "n_runs": "__line_runs", "removed": "__line_gone"})
+    gone = later_copies(documents, min_lines, long_words).withColumnsRenamed({"doc": "__line_doc", "form": "__line_form", "n_runs": "__line_runs", "removed": "__line_gone"})
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.withColumn("__line_own", F.xxhash64(text))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__line_doc")) & (F.col("__line_own") == F.col("__line_form")), "left")
