@@ -5,13 +5,14 @@ count is drawn from the Poisson distribution of its source's rate by inverting t
 and its id, so the count depends on nothing else: not on partitions, order or retries. The document is then exploded to its copies,
 and the copies are put in one global order of hashed keys (a range-partitioned sort).
 
-The distribution is inverted by a table of cumulative probabilities per source, so the documents are joined with one small row per
+A rate above MOST_RATE, where exp(-rate) would leave the doubles, is drawn as the sum of independent draws of an equal part of it, each
+with its own hash: such sums have the Poisson distribution of the whole rate. The distribution is inverted by a table of cumulative probabilities per source, so the documents are joined with one small row per
 source: broadcast when there are at most ``broadcast_sources`` of them (counted first), else spread over salts, because one source
 may hold a third of the rows.
 
 Defined results: a null text has 0 characters; a null source is a source of its own; a null doc_id hashes as "null"; repeated rows
 each get the count of their id; a source without characters, or without a weight when weights are given, has rate 0; an empty table
-gives no rows. Copies beyond ``rate + 12 * sqrt(rate) + 40`` have a probability below 1e-16 and are not drawn.
+gives no rows. Copies of a draw beyond ``rate + 12 * sqrt(rate) + 40`` have a probability below 1e-16 and are not drawn.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from kinloom.llm.common import hash_long, hash_unit, stored
 
 SALTS = 64
+MOST_RATE = 500.0
 
 
 def source_rates(documents: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, budget: float = 1.0) -> DataFrame:
@@ -55,7 +57,8 @@ def poisson_mix(
 ) -> DataFrame:
     """The copies of the documents with copy_no (from 1), rate and shuffle_key, in the global order of shuffle_key."""
     rates = source_rates(documents, weights, temperature, budget)
-    rates = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), poisson_table(F.col("rate")).alias("__table"))
+    draws = F.greatest(F.ceil(F.col("rate") / F.lit(MOST_RATE)), F.lit(1)).cast("int")
+    rates = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), draws.alias("__draws"), poisson_table(F.col("rate") / draws).alias("__table"))
     kept = documents.select(*[c for c in documents.columns if c not in ("copy_no", "rate", "shuffle_key")])
     if rates.count() <= broadcast_sources:
         joined = kept.join(F.broadcast(rates), kept["source"].eqNullSafe(F.col("__source")))
@@ -64,9 +67,11 @@ def poisson_mix(
         kept = kept.withColumn("__own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
         joined = kept.join(salted, kept["source"].eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt"))).drop("__own", "__salt")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    at = hash_unit(F.lit(seed), name)
-    counted = joined.withColumn("__n", F.when(F.col("__rate") > 0, F.size(F.filter("__table", lambda c: c < at))).otherwise(F.lit(0)))
+    drawn = lambda at: F.size(F.filter("__table", lambda c: c < at))
+    more = lambda n, k: n + drawn(hash_unit(F.lit(seed), F.lit("draw"), name, k.cast("string")))
+    rest = F.when(F.col("__draws") > 1, F.aggregate(F.sequence(F.lit(2), F.greatest("__draws", F.lit(2))), F.lit(0), more)).otherwise(F.lit(0))
+    counted = joined.withColumn("__n", F.when(F.col("__rate") > 0, drawn(hash_unit(F.lit(seed), name)) + rest).otherwise(F.lit(0)))
     copies = counted.where("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     copies = copies.withColumn("rate", F.col("__rate")).withColumn("shuffle_key", hash_long(F.lit(seed), F.lit("order"), name, F.col("copy_no").cast("string")))
-    copies = copies.drop("__source", "__rate", "__table", "__n")
+    copies = copies.drop("__source", "__rate", "__draws", "__table", "__n")
     return copies.orderBy("shuffle_key", "doc_id", "copy_no") if order else copies
