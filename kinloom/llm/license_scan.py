@@ -2,7 +2,7 @@
 
 A text is put in a canonical form: lower case, copyright lines dropped, equivalent spellings made equal, punctuation and white space
 reduced to single spaces. The md5 of that form is looked up among the digests of known licence texts and notices. Whole texts are
-looked up, and each line of a text as a text of its own. The known digests are a fixed table of a few rows, so that side is
+looked up, and each line of a text as a text of its own. The known digests are a fixed table of some tens of rows, so that side is
 broadcast; only lines that match are shuffled.
 
 Defined results: a null text counts as empty, and an empty canonical form matches nothing; repeated rows of a doc_id share their
@@ -11,6 +11,9 @@ matches, each row counting its own lines once per distinct line text; an empty t
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ SPELLINGS = (
     ("https", "http"),
 )
 
-# Known licence texts and notices.
-KNOWN = (
+# Known licence notices and short texts.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -53,6 +56,25 @@ KNOWN = (
     ),
 )
 
+# Title lines that short texts have in files; numbered lists also come with bullets, which the canonical form drops.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD-3-Clause"),
+}
+
+
+def _known() -> tuple[tuple[str, str], ...]:
+    """Notices, the whole texts of the folder licenses, and the short texts also with titles and, where they number their clauses, with bullets."""
+    files = sorted((f for f in resources.files("kinloom.llm").joinpath("licenses").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    rows = list(NOTICES) + [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files]
+    rows += [(name, re.sub(r"(?m)^\d\. ", "* ", text)) for name, text in rows if name.startswith("BSD-")]
+    return tuple(rows + [(name, f"{title}\n\n{text}") for name, text in rows if len(text) > 500 for title in TITLES.get(name, ())])
+
+
+KNOWN = _known()
+
 # What a copyright line looks like, after lower-casing.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
