@@ -76,16 +76,24 @@ def break_words(text: str, costs: dict[str, float], unknown: float = 12.0, longe
     return out[::-1]
 
 
-def segment(rows: DataFrame, costs: DataFrame, most_words: int = 200_000) -> DataFrame:
-    """(id, text, words): text split into known words. The cheapest ``most_words`` words are broadcast: a vocabulary with a stated bound."""
-    table = {r.word: r.cost for r in costs.orderBy("cost", "word").limit(most_words).collect()}
-    held = rows.sparkSession.sparkContext.broadcast(table)
+def segment(rows: DataFrame, costs: DataFrame, longest: int = 20) -> DataFrame:
+    """(id, text, words): text split into known words of the whole vocabulary. Only pieces of at most ``longest`` letters that occur in the texts are looked up, by a join."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(words=[" ".join(break_words(t or "", held.value)) for t in pdf["text"]])
+            for text in pdf["text"]:
+                yield pd.DataFrame({"text": text, "word": sorted({text[i:j] for i in range(len(text)) for j in range(i + 1, min(i + longest, len(text)) + 1)})})
 
-    return rows.select("id", "text").mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, words string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known = [dict(zip(w, c, strict=True)) for w, c in zip(pdf["known"], pdf["costs"], strict=True)]
+            yield pdf.assign(words=[" ".join(break_words(t, k, longest=longest)) for t, k in zip(pdf["text"], known, strict=True)])[["text", "words"]]
+
+    texts = rows.select("text").where("text <> ''").distinct()
+    found = texts.mapInPandas(pieces, "text string, word string").join(costs, "word").groupBy("text").agg(F.collect_list(F.struct("word", "cost")).alias("x"))
+    known = texts.join(found, "text", "left").select("text", F.coalesce("x.word", F.array().cast("array<string>")).alias("known"), F.coalesce("x.cost", F.array().cast("array<double>")).alias("costs"))
+    split = known.mapInPandas(run, "text string, words string")
+    return rows.select("id", "text").join(split, "text", "left").select("id", "text", F.coalesce("words", F.lit("")).alias("words"))
 
 
 def isotonic(scores: DataFrame, low: float = 1e-6, high: float = 1 - 1e-6):

@@ -714,7 +714,7 @@ def word_costs(spark, sf):
 def segment_domain(spark, sf):
     rows = er(spark, sf)
     costs = learned.word_costs(s1_of(rows).select(F.explode(text.name_tokens(F.col("name"))).alias("word")))
-    joined = pool_of(rows).select(F.col("entity_id").alias("id"), F.array_join(F.slice(text.name_tokens(F.col("name")), 1, 4), "").alias("text"))
+    joined = pool_of(rows).select(F.col("entity_id").alias("id"), F.array_join(text.name_tokens(F.col("name")), "").alias("text"))
     return learned.segment(joined, costs)
 
 
