@@ -12,12 +12,13 @@ so every other piece fills a sequence by itself. What is left is bin packing of
 Only one small row per piece is shuffled, never text or ids. Each round is a table in the shared folder.
 
 Defined results: a null text counts as empty and gives one piece holding the end id; rows with a null or repeated doc_id are each
-packed; an empty table gives no rows; other columns are ignored.
+packed; an empty table gives no rows; other columns are ignored, unless they are to be carried. Strings of added tokens inside texts are what the
+tokenizer's plain call makes of them. Texts of over a million characters are encoded in parts, cut where no id can change.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,51 +33,81 @@ from pyspark.sql import functions as F
 from kinloom.llm.common import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Characters on whose classes all versions of Unicode agree; texts of others go to the tokenizer's own library.
-PLAIN = re.compile("[\t\n\r -~¡-ɏ‐-‧€]*")
+#: A longer text is encoded in parts, to bound the memory of a task.
+PART_CHARS = 1 << 20
+#: A place between two ASCII words: a byte-level pattern ends a word there whatever stands around it.
+BETWEEN = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+
+
+def text_parts(text: str, most: int) -> list[str]:
+    """The text in parts of about ``most`` characters, cut only between two ASCII words; a text without such places stays whole."""
+    out, at = [], 0
+    while len(text) - at > most:
+        cut = BETWEEN.search(text, at + most)
+        if cut is None:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
+def _parts_are_safe(tokenizer) -> bool:
+    """Whether cutting between ASCII words can't change the ids: a byte-level split, no normaliser, and no added token that takes in white space."""
+    told = json.loads(tokenizer.to_str())
+    split = told["pre_tokenizer"] or {}
+    level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in told["added_tokens"])
+    return level and told["normalizer"] is None and added
 
 
 @lru_cache(maxsize=4)
-def _encoder(tokenizer_path: str, ranks_path: str | None, pattern: str | None):
-    """A function from texts to lists of ids. With a ranks file (the same vocabulary), plain texts take the faster library."""
+def _encoder(tokenizer_path: str):
+    """A function from texts to lists of ids, those of ``encode(text, add_special_tokens=False)``."""
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer_path)
-    own.encode_special_tokens = True
     own.no_truncation()
     own.no_padding()
-    slow = lambda text: own.encode(text, add_special_tokens=False).ids
-    if ranks_path is None:
-        return slow
-    import tiktoken
+    safe = _parts_are_safe(own)
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: fast.encode_ordinary(text) if PLAIN.fullmatch(text) else slow(text)
+    def encode(text: str) -> list[int]:
+        if len(text) <= PART_CHARS or not safe:
+            return own.encode(text, add_special_tokens=False).ids
+        return [x for part in text_parts(text, PART_CHARS) for x in own.encode(part, add_special_tokens=False).ids]
 
+    return encode
 
-def tokenize_pieces(
-    documents: DataFrame, tokenizer_path: str, sequence: int = 1024, end_id: int = 2, ranks_path: str | None = None, pattern: str | None = None
-) -> DataFrame:
-    """A row for each piece of each document: (doc_id, piece, start, length, ids_crc32)."""
+
+def tokenize_pieces(documents: DataFrame, tokenizer_path: str, sequence: int = 1024, end_id: int = 2, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each piece of each document: (doc_id, piece, start, length, ids_crc32), the columns to carry, and ``ids`` on request."""
+
+    held = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path, ranks_path, pattern)
+        encode = _encoder(tokenizer_path)
         for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            rows = []
-            for i, doc in enumerate(docs):
+            texts, own, rows, ids_of = batch.column("text"), [], [], []
+            for i in range(batch.num_rows):
                 ids = np.array(encode(texts[i].as_py() or "") + [end_id], "<u4")
                 first = (len(ids) - 1) % sequence + 1
                 starts = [0, *range(first, len(ids), sequence)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
-                    rows.append((doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-            doc, piece, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 5
-            cols = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+                    own.append(i)
+                    rows.append((k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                    if with_ids:
+                        ids_of.append(ids[a:b].astype(np.int32))
+            piece, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 4
+            kept = batch.drop_columns(["text"]).take(pa.array(own, pa.int64()))
+            cols = [kept.column(0), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *kept.columns[1:]]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", *carry]
+            if with_ids:
+                ends = np.cumsum([0, *length], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids_of) if ids_of else np.empty(0, np.int32))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    kinds = [f"`{c}` {held.schema[c].dataType.simpleString()}" for c in carry]
+    return held.mapInArrow(run, ", ".join([PIECES, *kinds, *(["ids array<int>"] if with_ids else [])]))
 
 
 def lower_bound(counts: np.ndarray, size: int) -> int:
@@ -163,13 +194,13 @@ def pack_documents(
     tokenizer_path: str,
     sequence: int = 1024,
     end_id: int = 2,
-    ranks_path: str | None = None,
-    pattern: str | None = None,
     part_rows: int = 100_000,
     rounds: int = 4,
+    with_ids: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document."""
-    pieces = tokenize_pieces(documents, tokenizer_path, sequence, end_id, ranks_path, pattern)
+    """(doc_id, piece, start, length, ids_crc32, carried columns, ids on request, sequence_id, offset) for every piece of every document."""
+    pieces = tokenize_pieces(documents, tokenizer_path, sequence, end_id, with_ids, carry)
     pieces = stored(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == sequence).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
     rest = pieces.where(F.col("length") < sequence)

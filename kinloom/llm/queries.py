@@ -28,7 +28,7 @@ def tokenizer_files() -> dict[str, str]:
     """The public tokenizer that the driver's box offers; another is another path."""
     import public_tokenizers as files
 
-    return {"tokenizer_path": files.path("byte_bpe_50k.json"), "ranks_path": files.path("byte_bpe_50k.tiktoken"), "pattern": files.PATTERN}
+    return {"tokenizer_path": files.path("byte_bpe_50k.json")}
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

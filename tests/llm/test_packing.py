@@ -4,18 +4,18 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from kinloom.llm.packing import best_fit_decreasing, lower_bound, pack_documents, pack_remainders
+from kinloom.llm import packing
+from kinloom.llm.packing import best_fit_decreasing, lower_bound, pack_documents, pack_remainders, text_parts
 from kinloom.llm.queries import tokenizer_files
 
-TEXTS = ["", None, "plain words here " * 700, "Ünïcödé “quotes” — €5 ½ ²", "漢字 and 🙂 emoji nbsp\x85nel sep", "<|endoftext|> a", "  \n\n\t x", "don't you'll", "a" * 5000, "العربية १२३", "x"]
+TEXTS = ["", None, "plain words here " * 700, "Ünïcödé “quotes” — €5 ½ ²", "漢字 and 🙂 emoji nbsp\x85nel sep", "<|endoftext|> a", "hello <|endoftext|> world", "  \n\n\t x", "don't you'll", "a" * 5000, "العربية १२३", "x"]
 
 
 def test_pieces_are_the_tokenizers_own_and_sequences_are_gapless(spark):
     from tokenizers import Tokenizer
 
     files = tokenizer_files()
-    own = Tokenizer.from_file(files["tokenizer_path"])
-    own.encode_special_tokens = True
+    own = Tokenizer.from_file(files["tokenizer_path"])  # no option is set: the plain call decides
     rng = np.random.default_rng(3)
     texts = TEXTS + [" ".join(rng.choice(["alpha", "Beta", "nuß", "12", "--"], int(rng.integers(1, 2500)))) for _ in range(60)]
     rows = [(i, t, 5) for i, t in enumerate(texts)] + [(1, "again", 6), (None, "no id", 7)]
@@ -66,3 +66,32 @@ def test_exchange_rounds_keep_every_item_once(spark):
     items = spark.createDataFrame([(i, int(x)) for i, x in enumerate(rng.integers(1, 1024, 900))], "uid long, length long")
     out = pack_remainders(items, part_rows=60).collect()
     assert sorted(r.uid for r in out) == list(range(900))
+
+
+def test_exchange_lowers_the_number_of_sequences(spark):
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(i, int(x)) for i, x in enumerate(rng.integers(200, 520, 1200))], "uid long, length long")
+    bins = [len({r.sequence_id for r in pack_remainders(items, part_rows=40, rounds=rounds).collect()}) for rounds in (1, 4)]
+    assert bins[1] < bins[0]
+
+
+def test_long_texts_in_parts_have_the_same_ids(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_files()["tokenizer_path"])
+    rng = np.random.default_rng(9)
+    words = ["alpha", "Beta's", "nuß", "12", "--", " ", "\n", "<|endoftext|>", "don't", "漢字", "a b", "\t x"]
+    texts = ["".join(w + rng.choice(["", " ", "  "]) for w in rng.choice(words, int(rng.integers(0, 400)))) for _ in range(200)] + ["x" * 3000]
+    monkeypatch.setattr(packing, "PART_CHARS", 50)
+    packing._encoder.cache_clear()
+    encode = packing._encoder(tokenizer_files()["tokenizer_path"])
+    assert sum(len(text_parts(t, 50)) > 1 for t in texts) > 100 and all("".join(text_parts(t, 50)) == t for t in texts)
+    assert [encode(t) for t in texts] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    packing._encoder.cache_clear()
+
+
+def test_carried_columns_and_ids(spark):
+    docs = spark.createDataFrame([(1, "some words " * 900, 7), (2, None, None)], "doc_id long, text string, copy_no int")
+    out = pack_documents(docs, **tokenizer_files(), with_ids=True, carry=("copy_no",)).collect()
+    assert {(r.doc_id, r.copy_no) for r in out} == {(1, 7), (2, None)}
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in out)
