@@ -12,7 +12,7 @@ CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2)
+    out = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2, long_words=50)
     return out.select("doc_id", F.col("__line_n").alias("n_lines"), F.col("__line_removed").alias("n_removed"), F.col("__line_runs").alias("n_runs"), "text")
 
 
@@ -158,14 +158,35 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 _LINES_SQL = """
-WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS raw FROM documents),
-filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS pos FROM raw WHERE trim(line) <> ''),
-pairs AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM filled),
-ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) AS r FROM pairs WHERE next IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM ranked WHERE r > 1),
-marked AS (SELECT f.*, g.pos IS NOT NULL AS removed FROM filled f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.pos = g.pos),
-runs AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM marked),
-counts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, count(*) FILTER (opens) AS n_runs FROM runs GROUP BY doc_id),
+WITH RECURSIVE raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS raw FROM documents),
+filled AS (
+  SELECT doc_id, line, raw, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) >= 50 AS long FROM raw WHERE trim(line) <> ''
+),
+places AS (SELECT *, doc_id * 1048576 + pos AS place FROM filled),
+named AS (SELECT *, min(place) OVER (PARTITION BY line) AS name, count(*) OVER (PARTITION BY line) AS n FROM places),
+suffixes AS (SELECT doc_id, pos, place, name, long FROM named WHERE n > 1),
+runs AS (
+  SELECT doc_id, pos, place, 1 AS run, name FROM suffixes
+  UNION ALL SELECT doc_id, pos, place, run, name FROM (
+    SELECT r.doc_id, r.pos, r.place, r.run + 1 AS run, min(r.place) OVER (PARTITION BY r.name, s.name) AS name, count(*) OVER (PARTITION BY r.name, s.name) AS n
+    FROM runs r JOIN suffixes s ON s.doc_id = r.doc_id AND s.pos = r.pos + r.run
+  ) WHERE n > 1
+),
+longest AS (SELECT doc_id, pos, max(run) AS run FROM runs GROUP BY doc_id, pos),
+starts AS (
+  SELECT l.doc_id, l.pos FROM longest l LEFT JOIN longest b ON b.doc_id = l.doc_id AND b.pos = l.pos - 1
+  WHERE coalesce(b.run, 0) <> l.run + 1 AND (l.run >= 2 OR EXISTS (SELECT 1 FROM suffixes s WHERE s.doc_id = l.doc_id AND s.pos = l.pos AND s.long))
+),
+later AS (SELECT doc_id, pos, name // 1048576 AS first_doc, name % 1048576 AS first_pos FROM runs WHERE run = 2 AND name <> place),
+stay AS (SELECT DISTINCT doc_id, unnest([first_pos, first_pos + 1]) AS pos FROM later WHERE first_doc = doc_id),
+copies AS (
+  SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM later WHERE first_doc <> doc_id
+  UNION SELECT doc_id, pos FROM suffixes WHERE long AND name <> place
+  UNION SELECT * FROM (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM later WHERE first_doc = doc_id) o ANTI JOIN stay USING (doc_id, pos)
+),
+marked AS (SELECT f.*, g.pos IS NOT NULL AS removed, s.pos IS NOT NULL AS begins FROM filled f LEFT JOIN copies g ON f.doc_id = g.doc_id AND f.pos = g.pos LEFT JOIN starts s ON f.doc_id = s.doc_id AND f.pos = s.pos),
+opened AS (SELECT *, removed AND (begins OR NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY pos), false)) AS opens FROM marked),
+counts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, count(*) FILTER (opens) AS n_runs FROM opened GROUP BY doc_id),
 kept AS (
   SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.raw) AS text FROM raw r LEFT JOIN marked m ON r.doc_id = m.doc_id AND r.raw = m.raw
   WHERE NOT coalesce(m.removed, false) GROUP BY r.doc_id
