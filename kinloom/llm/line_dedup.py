@@ -3,16 +3,16 @@
 Lines with content get ids; a document is a sequence of ids, and documents are numbered in their order. A line that occurs once ends every
 repeated run, so only suffixes that start at a repeated line are sorted, each up to the next line that occurs once:
 
-1. Doubling. The rank by 2k lines is the place of the pair (rank by k lines here, rank by k lines k places on) in a range-partitioned sort
-   of the distinct pairs. Rounds go on until no rank splits: equal ranks are then equal suffixes, and ranks order suffixes as a suffix
-   array does. A suffix keeps its ranks of all rounds, its ladder.
-2. Common prefixes. Neighbouring ranks share as many rungs of their ladders as powers of two fit in their common prefix; the rest of it is
+1. Doubling. The rank by 2k lines is the place of the pair (rank by k lines here, ranks k places on) in a range-partitioned sort of the
+   distinct pairs. A suffix keeps its ranks of all rounds, its ladder, and leaves the rounds when its rank is its own or its lines are
+   at an end; equal ladders are then equal suffixes, and ladders order suffixes as a suffix array does.
+2. Common prefixes. Neighbours in the array share as many rungs of their ladders as powers of two fit in their common prefix; the rest of it is
    found by going down the rungs at the places behind. The longest run that starts at a suffix and repeats anywhere is the larger of the
    common prefixes with its two neighbours (the whole suffix, if it has an equal).
 3. Intervals. A run is maximal unless the one that starts a line before holds it. Suffixes that agree in their first ``min_lines`` lines are an
    interval of the array, found by two ranks that together span so many lines; its first place (in order of document and line) is the first copy.
 4. Every copy but the first goes, of every repeated run of ``min_lines`` or more lines, and with ``long_words`` also of a single line of at
-   least so many words; the runs of exactly so many lines cover all longer ones. Copies of a document's own lines never take lines of
+   least so many words (its single spaces and one); the runs of exactly so many lines cover all longer ones. Copies of a document's own lines never take lines of
    a first copy that recurs in it (``a b a b a`` leaves ``a b a``), so a first copy loses only lines with a still earlier copy in another document. The
    lines that go count as one run from where a maximal repeated run starts, or from a line that stays, to the next such place.
 
@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 from kinloom.llm.common import stored
 
 PART_BITS = 33  # monotonically_increasing_id counts within a partition in so many bits
+ROUND_BITS, ROUNDS = 58, 31  # ranks of different rounds differ
 
 
 def _sequences(documents: DataFrame, long_words: int | None) -> DataFrame:
     """(d, doc, form, n_raw, ids): the distinct documents, numbered in their order, and their lines with content."""
     text = F.coalesce("text", F.lit(""))
-    words = lambda x: F.when(F.length(x) >= 2 * long_words - 1, F.regexp_count(x, F.lit(r"[^ \t\n\x0B\f\r]+")) >= long_words).otherwise(F.lit(False))
-    long = (lambda x: F.lit(False)) if long_words is None else words
+    spaces = lambda x: F.octet_length(F.trim(x)) - F.octet_length(F.replace(F.trim(x), F.lit(" "), F.lit("")))
+    long = lambda x: F.lit(False) if long_words is None else spaces(x) >= long_words - 1
     ids = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("raw"), F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.trim(x) != "").alias("filled"), long(x).alias("long")))
     docs = documents.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("form"), ids.alias("lines"))
     docs = docs.select("doc", "form", F.size("lines").alias("n_raw"), F.filter("lines", lambda x: x["filled"]).alias("ids"))
@@ -60,26 +61,27 @@ def _repeated(sequences: DataFrame) -> DataFrame:
 
 
 def _ladders(ranks: DataFrame) -> DataFrame:
-    """The suffixes with their ranks by 1, 2, 4, ... lines, as far as a rank still splits."""
-    ahead, classes = 1, ranks.select(F.col("path")[0].alias("r")).distinct().count()
-    while classes:
-        there = F.max(F.element_at("path", -1)).over(Window.partitionBy("d").orderBy("pos").rangeBetween(ahead, ahead))
-        pairs = ranks.withColumn("a", F.element_at("path", -1)).withColumn("b", F.coalesce(F.when(F.col("left") > ahead, there), F.lit(-1)))
-        order = stored(pairs.select("a", "b").distinct().orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("r")), "order")
-        now = order.count()
-        if now == classes:
-            break
-        ranks = stored(pairs.join(order, ["a", "b"]).select("d", "pos", "left", "long_at", F.array_append("path", F.col("r")).alias("path")), "ranks")
-        ahead, classes = 2 * ahead, now
-    return ranks
+    """The suffixes with their ranks by 1, 2, 4, ... lines; each round moves only those that share their rank and go on."""
+    ranks = ranks.withColumn("open", F.col("left") > 1)
+    for k in range(ROUNDS):
+        ahead = 1 << k
+        there = ranks.select("d", (F.col("pos") - ahead).alias("pos"), F.col("path").alias("b"))
+        moving = stored(ranks.where("open").join(there, ["d", "pos"]).withColumn("a", F.element_at("path", -1)), "moving")
+        if moving.isEmpty():
+            return ranks.drop("open")
+        rank = F.monotonically_increasing_id() + (k + 1 << ROUND_BITS)
+        order = moving.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).orderBy("a", "b").select("a", "b", "n", rank.alias("r"))
+        moved = moving.join(order, ["a", "b"]).select("d", "pos", "left", "long_at", F.array_append("path", F.col("r")).alias("path"), ((F.col("n") > 1) & (F.col("left") > 2 * ahead)).alias("open"))
+        ranks = stored(moved.unionByName(ranks.where("not open")), "ranks")
+    raise RuntimeError(f"a repeated run of more than 2 ** {ROUNDS} lines")
 
 
 def _classes(ranks: DataFrame) -> DataFrame:
-    """A row for each distinct suffix: its place at in the array, its first place (d, pos), its copies n, left and path."""
+    """A row for each distinct suffix: its place at in the array, its rank r, its first place (d, pos), its copies n, left and path."""
     own = F.element_at("path", -1)
     classes = ranks.groupBy(own.alias("r")).agg(F.min(F.struct("d", "pos")).alias("p"), F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("path").alias("path"))
-    classes = stored(classes, "classes")
-    part, inner = F.shiftright("r", PART_BITS), F.col("r").bitwiseAND((1 << PART_BITS) - 1)
+    classes = stored(classes.orderBy("path").withColumn("number", F.monotonically_increasing_id()), "array")
+    part, inner = F.shiftright("number", PART_BITS), F.col("number").bitwiseAND((1 << PART_BITS) - 1)
     sizes = sorted((r.part, r.n) for r in classes.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition of a sort
     begins = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
     begin = F.broadcast(classes.sparkSession.createDataFrame(begins, "part long, begin long"))
@@ -96,8 +98,8 @@ def _common(array: DataFrame, ranks: DataFrame) -> DataFrame:
     pairs = stored(pairs.where("rungs > 0").withColumn("lcp", F.expr("shiftleft(1L, rungs - 1)")), "pairs")
     most = pairs.agg(F.max("rungs")).first()[0] or 0
     for k in range(most - 2, -1, -1):
-        a = ranks.select(F.col("d").alias("xd"), F.col("pos").alias("xq"), F.col("path")[k].alias("a"))
-        b = ranks.select(F.col("d").alias("yd"), F.col("pos").alias("yq"), F.col("path")[k].alias("b"))
+        rung = ranks.where(F.size("path") > k).select("d", "pos", F.get("path", k).alias("rung"))  # a place without it shares no such prefix
+        a, b = rung.toDF("xd", "xq", "a"), rung.toDF("yd", "yq", "b")
         going = (F.col("rungs") > k + 1) & (F.col("xl") > F.col("lcp")) & (F.col("yl") > F.col("lcp"))
         nowhere = -1 - F.col("at")  # pairs that are done meet nothing, each at a place of its own
         pairs = pairs.withColumn("xq", F.when(going, F.col("xp") + F.col("lcp")).otherwise(nowhere)).withColumn("yq", F.when(going, F.col("yp") + F.col("lcp")).otherwise(nowhere))
@@ -107,11 +109,6 @@ def _common(array: DataFrame, ranks: DataFrame) -> DataFrame:
     return pairs.select("at", "lcp")
 
 
-def _rung(run: str) -> Column:
-    """The rung of which two ranks span a run; the last one tells whole suffixes apart."""
-    return F.least(F.length(F.bin(run)) - 1, F.size("path") - 1)
-
-
 def maximal_runs(ranks: DataFrame, min_lines: int, long_words: int | None = None) -> DataFrame:
     """(d, pos, run): the maximal repeated runs, each place with the length of its run."""
     array = _classes(ranks)
@@ -130,11 +127,12 @@ def maximal_runs(ranks: DataFrame, min_lines: int, long_words: int | None = None
 
 def _later(ranks: DataFrame, span: int) -> DataFrame:
     """(d, pos, first): the places of runs of exactly ``span`` lines that have an earlier copy, and the place of the first."""
-    rows = ranks.where(F.col("left") >= span).withColumn("run", F.lit(span).cast("long")).withColumn("k", _rung("run"))
-    rows = rows.select("d", "pos", (F.col("run") - F.expr("shiftleft(1L, k)")).alias("behind"), F.expr("path[k]").alias("x"), "k")
-    if span > 1:
-        there = ranks.select(F.col("d").alias("sd"), F.col("pos").alias("sp"), "path")
-        rows = rows.join(there, (F.col("d") == F.col("sd")) & (F.col("pos") + F.col("behind") == F.col("sp"))).withColumn("y", F.expr("path[k]"))
+    k = span.bit_length() - 1
+    behind = span - (1 << k)
+    rung = ranks.where(F.size("path") > k).select("d", "pos", "left", F.get("path", k).alias("x"))
+    rows = rung.where(F.col("left") >= span)
+    if behind:
+        rows = rows.join(rung.select("d", (F.col("pos") - behind).alias("pos"), F.col("x").alias("y")), ["d", "pos"])
     else:
         rows = rows.withColumn("y", F.col("x"))
     rows = rows.select("d", "pos", "x", "y")

@@ -160,7 +160,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 _LINES_SQL = """
 WITH RECURSIVE raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS raw FROM documents),
 filled AS (
-  SELECT doc_id, line, raw, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) >= 50 AS long FROM raw WHERE trim(line) <> ''
+  SELECT doc_id, line, raw, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos, length(trim(line)) - length(replace(trim(line), ' ', '')) >= 49 AS long FROM raw WHERE trim(line) <> ''
 ),
 places AS (SELECT *, doc_id * 1048576 + pos AS place FROM filled),
 named AS (SELECT *, min(place) OVER (PARTITION BY line) AS name, count(*) OVER (PARTITION BY line) AS n FROM places),

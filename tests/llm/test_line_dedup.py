@@ -9,7 +9,7 @@ def brute(rows, m, long_words=None):
     docs = sorted({(i is None, i or 0, t or "") for i, t in rows})
     content = {d: [(r, x) for r, x in enumerate(d[2].split("\n")) if x.strip(" ")] for d in docs}
     lines = {d: [x for _, x in content[d]] for d in docs}
-    is_long = lambda x: long_words is not None and len(x.split()) >= long_words
+    is_long = lambda x: long_words is not None and x.strip(" ").count(" ") + 1 >= long_words
     places = [(d, p) for d in docs for p in range(len(lines[d]))]
     by_line = {}
     for d, p in places:
