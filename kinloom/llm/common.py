@@ -14,13 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset, a temporary folder serves a local master, and a cluster is an error: its executors would not see one another's files."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     own = context._jsc.sc().getCheckpointDir()
     if own.isEmpty():
+        if not context._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="kinloom-"))
         own = context._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
@@ -38,11 +40,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now instead of at the next collection of the driver's garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def hash_unit(*parts: F.Column | str) -> F.Column:
     """A number strictly between 0 and 1 from an md5 of the parts, the same in any engine that has md5."""
     digest = F.md5(F.concat_ws(":", *parts))

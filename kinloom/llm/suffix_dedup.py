@@ -14,13 +14,15 @@ of the corpus would move each byte ``length`` times, so only strings that can re
 The hash only chooses where to look: equality is always that of bytes. A name with more than ``hot_docs`` documents is
 spread: its strings travel singly, to the bucket of their own hash. Copies are combined per chunk before each shuffle.
 
+A document longer than a chunk is cut into pieces that share ``length`` - 1 bytes, so every string lies whole in the piece in which it starts; the
+pieces' verdicts are put together at the end, where only such documents' bytes are in one place.
+
 Defined results: a null text counts as empty; documents of one repeated doc_id do not remove each other's bytes; a null doc_id is larger
 than every other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -32,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import release, stored
+from kinloom.llm.common import partitions, stored
 from kinloom.llm.suffix_sort import PAD, share_prefix, sorted_suffixes, words_at
 
-CHUNK = "chunk long, n_bytes long, ids binary, sizes binary, text binary"
+CHUNK = "chunk long, n_bytes long, ids binary, sizes binary, text binary, whole long, part int, own long, no_id boolean"
 NO_ID = np.iinfo(np.int64).max
 _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -138,28 +140,38 @@ class Chunk:
         return out
 
 
-def _pack(documents: DataFrame, chunk_bytes: int) -> DataFrame:
+def _pack(documents: DataFrame, chunk_bytes: int, length: int) -> DataFrame:
+    """Chunks of whole documents, and pieces of those longer than a chunk: whole names the document, own is the number of bytes before the next piece."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, ids, texts, size = 0, [], [], 0
 
-        def chunk():
+        def chunk(ids, texts, whole=None, part=None, own=None, no_id=None):
+            nonlocal made
             number = (TaskContext.get().partitionId() << 32) + made
+            made += 1
             sizes = np.array([len(t) for t in texts], np.int64)
-            cols = [[number], [size], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [_packed(b"".join(texts))]]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "n_bytes", "ids", "sizes", "text"])
+            cols = [[number], [int(sizes.sum())], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [_packed(b"".join(texts))], [whole], [part], [own], [no_id]]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in CHUNK.split(", ")])
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 data = text.as_py() or b""
+                if len(data) > chunk_bytes:
+                    whole = (TaskContext.get().partitionId() << 32) + made
+                    for part, at in enumerate(range(0, len(data), chunk_bytes)):
+                        piece = data[at : at + chunk_bytes + length - 1]
+                        yield chunk([NO_ID if doc is None else doc], [piece], whole, part, min(chunk_bytes, len(data) - at), doc is None)
+                    continue
                 if texts and size + len(data) > chunk_bytes:
-                    yield chunk()
-                    made, ids, texts, size = made + 1, [], [], 0
+                    yield chunk(ids, texts)
+                    ids, texts, size = [], [], 0
                 ids.append(NO_ID if doc is None else doc)
                 texts.append(data)
                 size += len(data)
         if texts:
-            yield chunk()
+            yield chunk(ids, texts)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CHUNK)
 
@@ -265,6 +277,34 @@ def _judge(length: int):
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+PIECE = "whole long, part int, mask binary"
+
+
+def _spans(mask: np.ndarray) -> int:
+    return int(np.count_nonzero(mask[1:] & ~mask[:-1]) + bool(len(mask) and mask[0]))
+
+
+def _kept(data: np.ndarray, mask: np.ndarray, digest: bool) -> bytes:
+    kept = (data[~mask] if mask.any() else data).tobytes()
+    return hashlib.sha256(kept).hexdigest().encode() if digest else kept
+
+
+def _join_pieces(digest: bool):
+    """A cut document from its pieces: a byte goes if any piece that has it says so."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        size = int(pdf["n_bytes"].sum())
+        data, gone, at = np.empty(size, np.uint8), np.zeros(size, bool), 0
+        for own, text, mask in zip(pdf["n_bytes"], pdf["kept"], pdf["mask"], strict=True):
+            data[at : at + own] = np.frombuffer(text, np.uint8)[:own]
+            mask = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(text)).astype(bool)
+            gone[at : at + len(mask)] |= mask
+            at += own
+        row = (pdf["doc_id"].iloc[0], size, int(gone.sum()), _spans(gone), _kept(data, gone, digest))
+        return pd.DataFrame([row], columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
+
+    return run
 
 
 def _drop(length: int, gram: int, bits: int, digest: bool):
@@ -288,41 +328,47 @@ def _drop(length: int, gram: int, bits: int, digest: bool):
             change[place] += 1
             change[place + length] -= 1
             gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+            if not pd.isna(row["whole"]):
+                data, mask = chunk.text[: int(chunk.sizes[0])], gone[: int(chunk.sizes[0])]
+                rows.append((None if row["no_id"] else int(chunk.ids[0]), int(row["own"]), 0, 0, data.tobytes(), int(row["whole"]), int(row["part"]), np.packbits(mask).tobytes()))
+                continue
             for doc, begin, size in zip(chunk.ids.tolist(), chunk.begin.tolist(), chunk.sizes.tolist(), strict=True):
                 mask = gone[begin : begin + size]
-                spans = int(np.count_nonzero(mask[1:] & ~mask[:-1]) + bool(size and mask[0]))
-                data = chunk.text[begin : begin + size]
-                kept = (data[~mask] if spans else data).tobytes()
-                rows.append((None if doc == NO_ID else doc, size, int(mask.sum()), spans, hashlib.sha256(kept).hexdigest().encode() if digest else kept))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-        return out.astype({"doc_id": "Int64"})
+                kept = _kept(chunk.text[begin : begin + size], mask, digest)
+                rows.append((None if doc == NO_ID else doc, size, int(mask.sum()), _spans(mask), kept, None, None, None))
+        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "whole", "part", "mask"])
+        return out.astype({"doc_id": "Int64", "whole": "Int64", "part": "Int32"})
 
     return run
 
 
-def _marks(chunks: DataFrame, length: int, gram: int, bits: int, hot_docs: int) -> DataFrame:
+def _marks(chunks: DataFrame, length: int, gram: int, bits: int, hot_docs: int, parts: int) -> DataFrame:
     names = chunks.mapInArrow(_names(length, gram, bits), "bucket long, chunk long, names binary, docs binary")
-    return stored(names.groupBy("bucket").applyInPandas(_flag(hot_docs), MARKS), "flags")
+    return stored(names.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_flag(hot_docs), MARKS), "flags")
+
+
+def _by_chunk(chunks: DataFrame, marks: DataFrame, parts: int):
+    return chunks.repartition(parts, "chunk").groupBy("chunk").cogroup(marks.repartition(parts, "chunk").groupBy("chunk"))
 
 
-def _judged(chunks: DataFrame, flags: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
-    rows = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInPandas(_segments(length, gram, bits), "bucket long, chunk long, sizes binary, least binary, text binary")
-    return stored(rows.groupBy("bucket").applyInPandas(_judge(length), MARKS), "judged")
+def _judged(chunks: DataFrame, flags: DataFrame, length: int, gram: int, bits: int, parts: int) -> DataFrame:
+    rows = _by_chunk(chunks, flags, parts).applyInPandas(_segments(length, gram, bits), "bucket long, chunk long, sizes binary, least binary, text binary")
+    return stored(rows.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_judge(length), MARKS), "judged")
 
 
 def remove_repeats(
-    documents: DataFrame, length: int = 50, gram: int = 20, chunk_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, hot_docs: int = 16_384, digest: bool = False
+    documents: DataFrame, length: int = 50, gram: int = 20, chunk_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, hot_docs: int = 16_384, digest: bool = False, task_bytes: int = 32 << 20
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) for every document; kept holds the bytes left, or their SHA-256 in hex with ``digest``."""
-    spark = documents.sparkSession
-    chunks = stored(_pack(documents, chunk_bytes), "chunks")
+    """(doc_id, n_bytes, n_removed, n_spans, kept) for every document; kept holds the bytes left, or their SHA-256 in hex with ``digest``. A shuffled task takes about ``task_bytes`` of text."""
+    chunks = stored(_pack(documents, chunk_bytes, length), "chunks")
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(0, (size // bucket_bytes).bit_length())
-    flags = _marks(chunks, length, gram, bits, hot_docs)
-    gc.collect()
-    release(spark)
-    judged = _judged(chunks, flags, length, gram, bits)
-    gc.collect()
-    release(spark)
-    marks = flags.unionByName(judged)
-    return chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInPandas(_drop(length, gram, bits, digest), KEPT)
+    parts = max(partitions(documents.sparkSession), -(-size // task_bytes))
+    flags = _marks(chunks, length, gram, bits, hot_docs, parts)
+    judged = _judged(chunks, flags, length, gram, bits, parts)
+    done = _by_chunk(chunks, flags.unionByName(judged), parts).applyInPandas(_drop(length, gram, bits, digest), f"{KEPT}, {PIECE}")
+    if chunks.where("whole is not null").isEmpty():
+        return done.drop("whole", "part", "mask")
+    done = stored(done, "kept")
+    long = done.where("whole is not null").groupBy("whole").applyInPandas(_join_pieces(digest), KEPT)
+    return done.where("whole is null").drop("whole", "part", "mask").unionByName(long)

@@ -57,3 +57,13 @@ def test_equals_brute_force(spark, how):
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_documents_longer_than_a_chunk(spark):
+    rng = np.random.default_rng(12)
+    base = "".join(rng.choice(list("abcdefgh "), 9000))
+    rows = [(1, base[2000:2600]), (2, base), (3, base[:5000] + "new" + base[4000:]), (4, "z" * 5000), (5, "z" * 3000), (None, base[1000:4000]), (2**63 - 1, "own " + base[:2500]), (6, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in remove_repeats(df, length=50, chunk_bytes=1024, bucket_bytes=4096, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()]
+    got = [(*r[:4], bytes(r[4]).decode()) for r in got]
+    assert sorted(got, key=repr) == sorted(brute(rows, 50), key=repr)
