@@ -13,7 +13,8 @@ Only one small row per piece is shuffled, never text or ids. Each round is a tab
 
 Defined results: a null text counts as empty and gives one piece holding the end id; rows with a null or repeated doc_id are each
 packed; an empty table gives no rows; other columns are ignored, unless they are to be carried. Strings of added tokens inside texts are what the
-tokenizer's plain call makes of them. Texts of over a million characters are encoded in parts, cut where no id can change.
+tokenizer's plain call makes of them. Where no id can change by it, words are encoded one by one and remembered, and texts of other characters
+in parts of a million characters.
 """
 
 from __future__ import annotations
@@ -33,10 +34,17 @@ from pyspark.sql import functions as F
 from kinloom.llm.common import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: A longer text is encoded in parts, to bound the memory of a task.
+#: Characters on whose classes all versions of Unicode agree.
+SIGN = "!-~\u00a1-\u024f\u2010-\u2027\u20ac"
+PLAIN = re.compile(f"[\t\n\r {SIGN}]*")
+#: Where a byte-level pattern always ends a word: words with the one space before them, and white space without the space that goes with the next word.
+UNIT = re.compile(f" ?[{SIGN}]+|[\t\n\r ]+(?![{SIGN}])|[\t\n\r ]+?(?= ?[{SIGN}])")
+#: What white space other than single spaces and line ends between words has somewhere.
+ROUGH = ("\t", "\r", "  ", "\n\n", " \n", "\n ")
+#: A longer text of other characters is encoded in parts, to bound the memory of a task, cut between two ASCII words.
 PART_CHARS = 1 << 20
-#: A place between two ASCII words: a byte-level pattern ends a word there whatever stands around it.
 BETWEEN = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+KNOWN_WORDS = 300_000
 
 
 def text_parts(text: str, most: int) -> list[str]:
@@ -51,8 +59,8 @@ def text_parts(text: str, most: int) -> list[str]:
     return [*out, text[at:]]
 
 
-def _parts_are_safe(tokenizer) -> bool:
-    """Whether cutting between ASCII words can't change the ids: a byte-level split, no normaliser, and no added token that takes in white space."""
+def _cuts_are_safe(tokenizer) -> bool:
+    """Whether cutting where a byte-level pattern ends a word can't change the ids: no normaliser, and no added token that takes in white space."""
     told = json.loads(tokenizer.to_str())
     split = told["pre_tokenizer"] or {}
     level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
@@ -60,22 +68,57 @@ def _parts_are_safe(tokenizer) -> bool:
     return level and told["normalizer"] is None and added
 
 
-@lru_cache(maxsize=4)
-def _encoder(tokenizer_path: str):
-    """A function from texts to lists of ids, those of ``encode(text, add_special_tokens=False)``."""
-    from tokenizers import Tokenizer
+class _Words(dict):
+    """Ids of words as bytes, encoded when asked for. The first KNOWN_WORDS, among them the common ones, are remembered; if many others come, it starts anew."""
 
-    own = Tokenizer.from_file(tokenizer_path)
-    own.no_truncation()
-    own.no_padding()
-    safe = _parts_are_safe(own)
+    def __init__(self, encode):
+        self.encode, self.others = encode, 0
 
-    def encode(text: str) -> list[int]:
-        if len(text) <= PART_CHARS or not safe:
-            return own.encode(text, add_special_tokens=False).ids
-        return [x for part in text_parts(text, PART_CHARS) for x in own.encode(part, add_special_tokens=False).ids]
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(self) < KNOWN_WORDS:
+            self[word] = ids
+        else:
+            self.others += 1
+            if self.others > 8 * KNOWN_WORDS:
+                self.clear()
+                self.others = 0
+        return ids
+
+
+class Encoder:
+    """Texts to the ids of the tokenizer's plain call. Words are looked up among those that the tokenizer has encoded before, up to a bound."""
+
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
+
+        self.own = Tokenizer.from_file(tokenizer_path)
+        self.own.no_truncation()
+        self.own.no_padding()
+        self.safe = _cuts_are_safe(self.own)
+        self.added = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        self.units = _Words(self.whole)
+        self.words = _Words(lambda word: self.whole(word if word.startswith("\n") else " " + word))  # with the space or the line end before them
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not self.safe:
+            ids = self.whole(text)
+        elif any(t in text for t in self.added) or not PLAIN.fullmatch(text):
+            ids = b"".join(map(self.whole, text_parts(text, PART_CHARS)))
+        elif text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(x in text for x in ROUGH):
+            ids = b"".join([self.units[unit] for unit in UNIT.findall(text)])
+        else:
+            first, *words = text.replace("\n", " \n").split(" ")
+            ids = self.units[first] + b"".join(map(self.words.__getitem__, words))
+        return np.frombuffer(ids, "<u4")
 
-    return encode
+
+@lru_cache(maxsize=4)
+def _encoder(tokenizer_path: str) -> Encoder:
+    return Encoder(tokenizer_path)
 
 
 def tokenize_pieces(documents: DataFrame, tokenizer_path: str, sequence: int = 1024, end_id: int = 2, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -88,7 +131,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer_path: str, sequence: int = 1
         for batch in batches:
             texts, own, rows, ids_of = batch.column("text"), [], [], []
             for i in range(batch.num_rows):
-                ids = np.array(encode(texts[i].as_py() or "") + [end_id], "<u4")
+                ids = np.append(encode(texts[i].as_py() or ""), np.uint32(end_id))
                 first = (len(ids) - 1) % sequence + 1
                 starts = [0, *range(first, len(ids), sequence)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):

@@ -75,19 +75,22 @@ def test_exchange_lowers_the_number_of_sequences(spark):
     assert bins[1] < bins[0]
 
 
-def test_long_texts_in_parts_have_the_same_ids(spark, monkeypatch):
+def test_cut_texts_have_the_same_ids(monkeypatch):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer_files()["tokenizer_path"])
     rng = np.random.default_rng(9)
-    words = ["alpha", "Beta's", "nuß", "12", "--", " ", "\n", "<|endoftext|>", "don't", "漢字", "a b", "\t x"]
-    texts = ["".join(w + rng.choice(["", " ", "  "]) for w in rng.choice(words, int(rng.integers(0, 400)))) for _ in range(200)] + ["x" * 3000]
+    plain = ["alpha", "Beta's", "nuß", "12", "--", " ", "\n", "<|endoftext|>", "don't", "a b", "\t x", "'s", "…x", "¡9", "\r\n", "  ", "€5"]
+    other = ["漢字", "🙂", "\x85", "\u00a0", "½", "\u2028", "ΑΒΓ", "\x1c", "\u200b"]
+    texts = []
+    for words in (plain, plain + other):
+        texts += ["".join(w + rng.choice(["", " ", "  "]) for w in rng.choice(words, int(rng.integers(0, 300)))) for _ in range(300)]
+    texts += ["x" * 3000, "", " ", "\n\n", " a", "a ", "\n a", " \n", "a  b", "a \n b"]
     monkeypatch.setattr(packing, "PART_CHARS", 50)
-    packing._encoder.cache_clear()
-    encode = packing._encoder(tokenizer_files()["tokenizer_path"])
+    encode = packing.Encoder(tokenizer_files()["tokenizer_path"])
     assert sum(len(text_parts(t, 50)) > 1 for t in texts) > 100 and all("".join(text_parts(t, 50)) == t for t in texts)
-    assert [encode(t) for t in texts] == [own.encode(t, add_special_tokens=False).ids for t in texts]
-    packing._encoder.cache_clear()
+    assert sum(packing.PLAIN.fullmatch(t) is not None for t in texts) > 300 and all("".join(packing.UNIT.findall(t)) == t for t in texts if packing.PLAIN.fullmatch(t))
+    assert [t for t in texts if encode(t).tolist() != own.encode(t, add_special_tokens=False).ids] == []
 
 
 def test_carried_columns_and_ids(spark):
