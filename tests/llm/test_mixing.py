@@ -29,7 +29,7 @@ def test_weights_are_met_on_average(spark):
     weights = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double")
     got = {r.source: r["count"] for r in poisson_mix(docs, weights).groupBy("source").count().collect()}
     assert abs(got["a"] - 15_000) < 600 and abs(got["b"] - 5_000) < 400
-    rates = {r.source: r.rate for r in source_rates(docs, weights).collect()}
+    rates = {r.source: r.rate for r in source_rates(docs, weights)[0].collect()}
     assert math.isclose(rates["a"], 3.0) and math.isclose(rates["b"], 1 / 3)
     assert poisson_mix(docs, weights.where("source = 'a'")).where("source = 'b'").count() == 0
 
@@ -41,3 +41,14 @@ def test_table_is_the_distribution(spark):
 
 def test_empty(spark):
     assert poisson_mix(docs_of(spark).limit(0)).collect() == []
+
+
+def test_rows_that_share_an_id_have_their_own_draws(spark):
+    rows = [(7, "same text", "a")] * 400 + [(None, "no id", "a")] * 400 + [(None, f"other {i}", "a") for i in range(400)] + [(i, "plain one", "a") for i in range(1000, 1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = poisson_mix(docs.repartition(5), weights=spark.createDataFrame([("a", 1.0)], "source string, weight double")).collect()
+    assert len({r.shuffle_key for r in out}) == len(out)
+    for keep in (lambda r: r.doc_id == 7, lambda r: r.text == "no id", lambda r: r.text.startswith("other")):
+        assert 300 < sum(map(keep, out)) < 500
+    key = lambda r: (r.doc_id or -1, r.text, r.copy_no, r.shuffle_key)
+    assert sorted(map(key, out)) == sorted(map(key, poisson_mix(docs.repartition(3), weights=spark.createDataFrame([("a", 5.0)], "source string, weight double")).collect()))
