@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 # Equivalent spellings, the second of each pair being canonical.
 SPELLINGS = (
     ("licence", "license"),
+    ("licences", "licenses"),
+    ("licenced", "licensed"),
     ("acknowledgement", "acknowledgment"),
     ("favour", "favor"),
     ("honour", "honor"),
     ("merchantibility", "merchantability"),
     ("noninfringement", "non infringement"),
+    ("sublicence", "sublicense"),
     ("sub license", "sublicense"),
     ("organisation", "organization"),
     ("authorised", "authorized"),
@@ -75,18 +78,28 @@ def _known() -> tuple[tuple[str, str], ...]:
 
 KNOWN = _known()
 
-# What a copyright line looks like, after lower-casing.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# What a copyright line looks like, after lower-casing. A year, a sign or "by" must follow, so that licences' own sentences about notices stay.
+COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|:|[ \t][0-9]{4}|[ \t]by[ \t])|(\(c\)|©)[ \t]*(copyright|[0-9]{4})|all rights reserved)[^\n]*$"
+
+
+#: A longer table of known texts is joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def canonical(text: Column) -> Column:
+    """Words with a space on either side of each, so that spellings are replaced as words and never inside one."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  "))
+    out = F.when(out == "", out).otherwise(F.concat(F.lit(" "), out, F.lit(" ")))
     for variant, standard in SPELLINGS:
-        out = F.replace(out, F.lit(variant), F.lit(standard))
+        out = F.replace(out, F.lit(_spaced(variant)), F.lit(_spaced(standard)))
     return out
 
 
+def _spaced(words: str) -> str:
+    return " " + words.replace(" ", "  ") + " "
+
+
 def known_digests(spark, known=KNOWN) -> DataFrame:
     rows = spark.createDataFrame(list(known), "license string, text string")
     return rows.select(F.md5(canonical(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
@@ -94,7 +107,9 @@ def known_digests(spark, known=KNOWN) -> DataFrame:
 
 def scan_licenses(documents: DataFrame, known=KNOWN) -> DataFrame:
     """One row per document: (doc_id, digest, license of the whole text or null, n_license_lines, line_licenses joined by commas)."""
-    digests = F.broadcast(known_digests(documents.sparkSession, known))
+    digests = known_digests(documents.sparkSession, known)
+    if len(known) <= BROADCAST_ROWS:
+        digests = F.broadcast(digests)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     whole = docs.select("doc_id", canonical(F.col("text")).alias("form")).select("doc_id", F.md5("form").alias("digest"), (F.col("form") != "").alias("filled"))
     whole = whole.join(digests, "digest", "left").select("doc_id", "digest", F.when(F.col("filled"), F.col("license")).alias("license"))

@@ -9,7 +9,7 @@ The fit takes at most ``sample_rows`` labelled documents, those with the smalles
 (2 ** bits numbers) are all that reaches the driver. Every document is scored, on its whole text.
 
 Defined results: null and empty texts are scored by their shape features alone; labels that are null or lack a document are not used; a
-document with several labels is used with each; without usable labels every grade is null, and every document is kept; repeated rows
+document with several labels is used with each, and a labelled doc_id of several rows with one of its texts (the least hash); without usable labels every grade is null, and every document is kept; repeated rows
 each give a row; an empty table gives no rows; other columns are kept by ``keep_good`` and ignored otherwise.
 """
 
@@ -162,8 +162,8 @@ def train(documents: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_ro
             found = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.binary())], names=["doc_id", "grade", "found"])
 
-    joined = own.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")
-    rows = sorted((r.doc_id, r.grade, bytes(r.found)) for r in joined.mapInArrow(run, "doc_id long, grade int, found binary").limit(2 * sample_rows).collect())
+    joined = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "grade", "t.text")  # a repeated id counts once
+    rows = sorted((r.doc_id, r.grade, bytes(r.found)) for r in joined.mapInArrow(run, "doc_id long, grade int, found binary").collect())
     if not rows:
         return None
     return fit_ordinal([np.frombuffer(f, np.int32) for _, _, f in rows], np.array([g for _, g, _ in rows]), n_grades, l1)

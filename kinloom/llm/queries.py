@@ -56,14 +56,16 @@ def op8_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.poisson_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    weights = documents.groupBy("source").agg(F.sqrt(F.count(F.lit(1))).alias("weight"))  # targets: the square root of each source's documents
+    mixed = mixing.poisson_mix(documents, weights)
     return mixed.select("doc_id", "source", "copy_no", "shuffle_key", "text")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    back = chat_format.read_back(chat_format.format_conversations(chat_format.chain_messages(rows)))
+    back = chat_format.read_back(chat_format.format_conversations(chat_format.chain_messages(rows), distinct=True))
     turns = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return back.select(
         "conv_id",
@@ -71,7 +73,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(turns, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("chars").alias("formatted_chars"),
     )
 
 
@@ -96,10 +98,11 @@ def _quote(text: str) -> str:
 def _canonical_sql(text: str) -> str:
     pattern = license_scan.COPYRIGHT_LINE
     out = f"regexp_replace(lower({text}), {_quote(pattern)}, '', 'g')"
-    out = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    out = f"(' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' ')"
     for variant, standard in license_scan.SPELLINGS:
-        out = f"replace({out}, {_quote(variant)}, {_quote(standard)})"
-    return out
+        spaced = [_quote(" " + words.replace(" ", "  ") + " ") for words in (variant, standard)]
+        out = f"replace({out}, {spaced[0]}, {spaced[1]})"
+    return f"CASE WHEN {out} = '  ' THEN '' ELSE {out} END"
 
 
 def _license_sql() -> str:
@@ -117,15 +120,17 @@ FROM whole w LEFT JOIN known ON md5(form) = known.digest LEFT JOIN hits h ON w.d
 
 
 _MIX_SQL = """
-WITH RECURSIVE size AS (SELECT source, sum(length(coalesce(text, ''))) AS chars FROM documents GROUP BY source),
-total AS (SELECT sum(chars)::DOUBLE AS goal, sum(pow(chars::DOUBLE, 0.5)) AS weight FROM size),
-rates AS (SELECT source, CASE WHEN chars > 0 THEN pow(chars::DOUBLE, 0.5) * (goal / weight) / chars ELSE 0.0 END AS rate FROM size, total),
+WITH RECURSIVE size AS (SELECT source, sum(length(coalesce(text, ''))) AS chars, sqrt(count(*)) AS weight FROM documents GROUP BY source),
+total AS (SELECT sum(chars)::DOUBLE AS goal, sum(weight) AS weight FROM size),
+rates AS (SELECT source, CASE WHEN chars > 0 THEN size.weight * (goal / total.weight) / chars ELSE 0.0 END AS rate FROM size, total),
+parts AS (SELECT source, rate, greatest(ceil(rate / 500), 1)::INTEGER AS draws, rate / greatest(ceil(rate / 500), 1) AS mean FROM rates WHERE rate > 0),
 steps AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates WHERE rate > 0
-  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 40)
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM parts
+  UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM steps WHERE k < ceil(mean + 12 * sqrt(mean) + 40)
 ),
-drawn AS (SELECT doc_id, source, text, (('0x' || md5('mix-1:' || doc_id)[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
-counted AS (SELECT d.doc_id, d.source, d.text, count(*) AS n FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.c < d.u GROUP BY ALL),
+drawn AS (SELECT doc_id, d.source, text, unnest(range(1, draws + 1)) AS draw FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
+hashed AS (SELECT *, (('0x' || md5('mix-1:' || CASE WHEN draw > 1 THEN 'draw:' ELSE '' END || doc_id || CASE WHEN draw > 1 THEN ':' || draw ELSE '' END)[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM drawn),
+counted AS (SELECT d.doc_id, d.source, d.text, count(*) AS n FROM hashed d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.c < d.u GROUP BY ALL),
 copies AS (SELECT doc_id, source, text, unnest(range(1, n + 1))::INTEGER AS copy_no FROM counted)
 SELECT doc_id, source, copy_no, ('0x' || md5('mix-1:order:' || doc_id || ':' || copy_no)[1:13])::BIGINT AS shuffle_key, text FROM copies
 """

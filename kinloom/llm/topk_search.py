@@ -9,7 +9,8 @@ A task reports only its bins from the top down to its own kth score, and at most
 and task however many copies there are. Queries are taken in blocks of bounded size, and only a block (its vectors and limits) is
 sent to the tasks.
 
-Defined results: vectors that are null, hold null or non-finite components, or whose row has no id take no part; vectors score only
+Defined results: vectors that are null, hold null or non-finite components, or whose row has no id take no part; neither do vectors whose
+integers have a squared norm of 2 ** 61 or more, as their scores might leave the 64-bit integers; vectors score only
 against vectors of the same length; a query id that is repeated counts once, with its least vector; repeated candidates each
 count, but never rows of the query's own id; fewer than k candidates give all; no queries give no rows; other columns are ignored.
 """
@@ -34,7 +35,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _integers(vectors: DataFrame, scale: float) -> DataFrame:
-    return vectors.select("vec_id", F.transform("embedding", lambda x: F.floor(x * F.lit(scale))).alias("v"))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.pow(F.floor(x * F.lit(scale)).cast("double"), F.lit(2.0)))
+    return vectors.where(norm < F.lit(float(2**61))).select("vec_id", F.transform("embedding", lambda x: F.floor(x * F.lit(scale))).alias("v"))
 
 
 def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -18,3 +18,13 @@ def test_spelling_case_and_copyright_lines(spark):
 
 def test_empty(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_sentences_about_notices_stay_and_spellings_are_words(spark):
+    isc = next(t for n, t in KNOWN if n == "ISC" and len(t) > 500)
+    lines = isc.replace("provided that the above copyright notice", "provided that the above\ncopyright notice")
+    rows = [(1, "ISC License\n\nCopyright 2019 Some One\n\n" + lines), (2, "(c) you must keep it"), (3, "you must keep it"), (4, "Copyright holder and (c) 2020"), (5, "sublicence licence licence favourite"), (6, "sublicence license license favourite")]
+    out = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].license == "ISC" and lines != isc
+    assert out[2].digest != out[3].digest and out[4].digest != scan_licenses(spark.createDataFrame([(1, "")], "doc_id long, text string")).first().digest
+    assert out[5].digest == out[6].digest

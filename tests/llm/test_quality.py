@@ -52,3 +52,28 @@ def test_fit_recovers_an_ordinal_model():
 def test_features_are_a_set():
     f = Features()
     assert (f("Word word, WORD") == np.unique(f("Word word, WORD"))).all() and len(f(None)) == len(f(""))
+
+
+def test_query_against_a_direct_formula(spark):
+    """The query's model applied by hand: the sum of the weights of a text's features, one logistic curve for each threshold."""
+    from kinloom.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    model = train(docs, graded(table(spark, sf, "labels")))
+    features, want = Features(), {}
+    for r in docs.collect():
+        score = sum(float(model.weights[f]) for f in features(r.text))
+        tails = [1 / (1 + np.exp(cut - score)) for cut in model.thresholds]
+        want[r.doc_id] = (sum(tails), tails[-1], tails[-1] >= 0.5)
+    got = {r.doc_id: (r.expected_grade, r.tail_probability, r.keep) for r in QUERIES["op6_quality"](spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[i][:2], want[i][:2], atol=1e-9) and got[i][2] == want[i][2] for i in want)
+
+
+def test_repeated_ids_count_once(spark):
+    docs = spark.createDataFrame([(i % 50, f"word{i % 50} " * 5) for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    once = train(docs.dropDuplicates(), graded(labels))
+    many = train(docs, graded(labels))
+    assert np.allclose(once.weights, many.weights) and np.allclose(once.thresholds, many.thresholds)

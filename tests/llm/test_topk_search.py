@@ -8,6 +8,7 @@ SCHEMA = "vec_id long, embedding array<float>, rank string, q int"
 
 def brute(rows, k):
     ok = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, v) for i, v in ok if sum(float(x) ** 2 for x in v) < 2**61]
     out = []
     for q in sorted({i for i, _ in ok if i % 5 == 0}):
         own = min((list(v) for i, v in ok if i == q))
@@ -36,3 +37,9 @@ def test_few_candidates_and_empty(spark):
     check(spark, [(0, [0.5, 0.5]), (1, [0.25, -1.0])], 5)
     check(spark, [(0, [0.5, 0.5])], 5)
     check(spark, [], 5)
+
+
+def test_very_large_components(spark):
+    big = [(i, [float(x)] * 8) for i, x in ((20, 1e20), (21, 1e12), (25, 1e6), (26, -1e6), (30, 2e6), (31, 3.0))]
+    check(spark, big, 5)
+    check(spark, [(i, [1e7] * 64) for i in range(4)] + [(5, [0.5] * 64), (6, [1e6] * 64)], 5)
