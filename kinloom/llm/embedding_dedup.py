@@ -1,14 +1,18 @@
 """Embedding near-duplicates through navigable small-world graphs per shard.
 
-Equal vectors are one node, weighted by its copies. The nodes are dealt by hash to shards of bounded size, each indexed by a
-hierarchical navigable small-world graph (hnsw.py), and every node queries every shard. A query whose whole beam lies within the
-threshold is widened, and past ``widest`` is answered by a scan of the shard in blocks, so crowded neighbourhoods lose nothing. Each task
-audits its recall on a sample of its queries against a scan and doubles the beam of all until the audit passes. What the graph finds is
-verified by cosine in double precision. A task returns only sums and a spanning forest, one row per query and one per joined node
-at most, however many pairs it found; components come from the union of the forests.
+Equal vectors are one node, weighted by its copies. The nodes are dealt by hash to shards of bounded bytes, each indexed by a
+hierarchical navigable small-world graph (hnsw.py), and every node queries every shard, in slices of bounded bytes. A query whose whole beam lies
+within the threshold is widened, and past ``widest`` is answered by a scan of the shard in blocks, so crowded neighbourhoods lose nothing.
+What the graph finds is verified by cosine in double precision. A task returns only sums and a spanning forest, one row per query
+and one per joined node at most, however many pairs it found; components come from the union of the forests.
 
-Queries times shards grows with the square of the table once there are more than ``least_shards`` full shards; that is inherent in
-querying every shard, and why shards are large.
+Each task audits its recall against a scan, on a sample of its queries that grows until it holds AUDIT_LINKS true links to other vectors (or
+AUDIT_MOST queries), and doubles the beam of all until PASSING of them are found; past ``widest`` all its queries are answered by the
+scan. The audits are rows of the result too: their pooled recall is a column, and so is the share of queries that were scanned.
+
+What is moved: a graph is its vectors in their own type and its links, sent once for each slice; a query is its vector, sent once for each shard.
+Queries times shards grows with the square of the table once it is larger than a shard; that is inherent in querying every shard, and why
+shards are as large as a task can hold.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components link with nothing and are their own
 component; so do vectors of different lengths; a row without vec_id takes no part and gets null for the component; repeated rows count as other
@@ -26,38 +30,48 @@ from kinloom.llm.common import stored
 from kinloom.llm.components import connected_components
 from kinloom.llm.gray_index import Forest
 from kinloom.llm.hnsw import Graph
-from kinloom.llm.topk_search import usable
 
 QUERY_BLOCK = 256
 SLACK = 1e-4
-AUDIT = 48
+AUDIT, AUDIT_LINKS, AUDIT_MOST = 48, 24, 1536
 PASSING = 0.98
+LINK_BYTES = 136  # of a node of a graph beside its vector, about
 INDEX = "dim int, shard int, graph binary, ids binary, vectors binary, weights binary"
+FOUND = "rep long, n_links long, other long, truth long, met long, asked long, scanned long"
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     """Unit vectors in double precision; scaled first, so that very large or small components neither overflow nor vanish."""
+    v = v.astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep", key=lambda s: s * 2654435761 % 4294967291, kind="stable")  # not in the order of ids
-    v = _unit(np.stack(pdf["embedding"].to_numpy()))
-    graph = Graph(v.astype(np.float32))
-    row = (int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0]), graph.dump(), pdf["rep"].to_numpy(np.int64).tobytes(), v.tobytes(), pdf["copies"].to_numpy(np.int64).tobytes())
-    return pd.DataFrame([row], columns=["dim", "shard", "graph", "ids", "vectors", "weights"])
+def _build(kind: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep", key=lambda s: s * 2654435761 % 4294967291, kind="stable")  # not in the order of ids
+        raw = np.stack(pdf["embedding"].to_numpy()).astype(kind)
+        graph = Graph(_unit(raw).astype(np.float32))
+        row = (int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0]), graph.dump(), pdf["rep"].to_numpy(np.int64).tobytes(), raw.tobytes(), pdf["copies"].to_numpy(np.int64).tobytes())
+        return pd.DataFrame([row], columns=["dim", "shard", "graph", "ids", "vectors", "weights"])
+
+    return run
+
 
+def _scan(x32: np.ndarray, q32: np.ndarray, todo: np.ndarray, least: float):
+    rows = max(1, (1 << 21) // max(1, len(x32)))
+    for at in range(0, len(todo), rows):
+        q, n = np.nonzero(q32[todo[at : at + rows]] @ x32.T >= least)
+        yield todo[at + q], n
 
-def _find(graph: Graph, x32: np.ndarray, q32: np.ndarray, beam: int, widest: int, threshold: float):
-    """Yields (query numbers, node numbers) of pairs within the threshold (single precision, with slack)."""
+
+def _find(graph: Graph, x32: np.ndarray, q32: np.ndarray, beam: int, widest: int, threshold: float, scanned: list[int]):
+    """Yields (query numbers, node numbers) of pairs within the threshold (single precision, with slack); counts the queries answered by a scan."""
     todo = np.arange(len(q32))
     while len(todo):
         if beam >= len(x32) or beam > widest:
-            rows = max(1, (1 << 21) // max(1, len(x32)))
-            for at in range(0, len(todo), rows):
-                q, n = np.nonzero(q32[todo[at : at + rows]] @ x32.T >= threshold - SLACK)
-                yield todo[at + q], n
+            scanned[0] += len(todo)
+            yield from _scan(x32, q32, todo, threshold - SLACK)
             return
         wider = []
         for at in range(0, len(todo), QUERY_BLOCK):
@@ -70,33 +84,42 @@ def _find(graph: Graph, x32: np.ndarray, q32: np.ndarray, beam: int, widest: int
         todo, beam = np.concatenate(wider), beam * 4
 
 
-def _query(threshold: float, least_beam: int, widest: int):
+def _audit(graph: Graph, x32: np.ndarray, q32: np.ndarray, own: np.ndarray, ids: np.ndarray, beam: int, widest: int, threshold: float) -> tuple[int, int, int]:
+    """The beam that finds enough of the true links of a sample to other vectors, those links, and how many of them it finds."""
+    order, size = np.random.default_rng(len(own)).permutation(len(own)), AUDIT
+    while True:
+        sample = np.sort(order[:size])
+        truth = {(int(a), int(b)) for q, n in _scan(x32, q32, sample, threshold) for a, b in zip(q, n, strict=True) if own[a] != ids[b]}
+        if len(truth) >= AUDIT_LINKS or size >= min(AUDIT_MOST, len(own)):
+            break
+        size *= 4
+    while True:
+        got = {(int(sample[a]), int(b)) for q, n in _find(graph, x32, q32[sample], beam, widest, threshold, [0]) for a, b in zip(q, n, strict=True)}
+        if len(truth & got) >= PASSING * len(truth) or beam > widest:
+            return beam, len(truth), len(truth & got)
+        beam *= 2
+
+
+def _query(kind: str, threshold: float, least_beam: int, widest: int):
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"rep": pd.Series(dtype="int64"), "n_links": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64")})
+        out = pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in FOUND.split(", ")})
         if not len(index) or not len(queries):
             return out
         row = index.iloc[0]
-        graph, dim = Graph.load(row["graph"]), int(row["dim"])
+        dim = int(row["dim"])
         ids, weights = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["weights"], np.int64)
-        x = np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
+        x = _unit(np.frombuffer(row["vectors"], kind).reshape(-1, dim))
         x32 = x.astype(np.float32)
+        graph = Graph.load(row["graph"], x32)
         own = queries["rep"].to_numpy(np.int64)
         q = _unit(np.stack(queries["embedding"].to_numpy()))
         q32 = q.astype(np.float32)
-        sample = np.unique(np.linspace(0, len(own) - 1, min(AUDIT, len(own))).astype(int))
-        truth = {(int(a), int(b)) for a, b in zip(*np.nonzero(q32[sample] @ x32.T >= threshold), strict=True)}
-        beam = least_beam
-        while True:
-            pairs = [(s, n) for s, n in _find(graph, x32, q32[sample], beam, widest, threshold)]
-            got = {(int(a), int(b)) for s, n in pairs for a, b in zip(s, n, strict=True)}
-            if len(truth & got) >= PASSING * len(truth) or beam > widest:
-                break
-            beam *= 2
-        counts = np.zeros(len(own), np.int64)
+        beam, truth, met = _audit(graph, x32, q32, own, ids, least_beam, widest, threshold)
+        counts, scanned = np.zeros(len(own), np.int64), [0]
         names, place = np.unique(np.concatenate([own, ids]), return_inverse=True)
         at_own, at_node = place[: len(own)], place[len(own) :]
         forest = Forest(len(names))
-        for a, b in _find(graph, x32, q32, beam, widest, threshold):
+        for a, b in _find(graph, x32, q32, beam, widest, threshold, scanned):
             for s in range(0, len(a), 1 << 16):
                 u, v = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
                 real = (own[u] != ids[v]) & (np.einsum("ed,ed->e", q[u], x[v]) >= threshold)
@@ -108,36 +131,49 @@ def _query(threshold: float, least_beam: int, widest: int):
         links = pd.DataFrame({"rep": names[child], "n_links": 0, "other": names[root[child]]})
         found = np.flatnonzero(counts)
         sums = pd.DataFrame({"rep": own[found], "n_links": counts[found], "other": own[found]})
-        return pd.concat([out, sums, links], ignore_index=True)
+        audit = pd.DataFrame({"truth": [truth], "met": [met], "asked": [len(own)], "scanned": [scanned[0]]})
+        return pd.concat([sums, links, audit], ignore_index=True).reindex(columns=list(out.columns)).astype("Int64")
 
     return run
 
 
 def embedding_components(
-    vectors: DataFrame, threshold: float = 0.95, beam: int = 24, widest: int = 128, least_shards: int = 8, shard_rows: int = 65_536, slice_rows: int = 8_192
+    vectors: DataFrame, threshold: float = 0.95, beam: int = 24, widest: int = 128, least_shards: int = 4, shard_bytes: int = 32 << 20, slice_bytes: int = 8 << 20
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
-    filled = usable(vectors).where(F.exists("embedding", lambda x: x != 0))
-    copies = filled.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    nodes = copies.select("rep", "copies", "embedding", F.size("embedding").alias("dim"))
-    nodes = stored(nodes, "nodes")
-    count = nodes.count()
-    shards, slices = max(least_shards, -(-count // shard_rows)), max(1, -(-count // slice_rows))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    graphs = stored(dealt.groupBy("dim", "shard").applyInPandas(_build, INDEX), "graphs")
-    served = graphs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    asked = nodes.withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(slices)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("dim", "shard", "slice", "rep", "embedding")
+    """(vec_id, n_links, component_id, kept, audit_links, audit_recall, scanned_share) for every row; the last three are of the whole table, and the recall is null without links to audit."""
+    double = vectors.schema["embedding"].dataType.simpleString() != "array<float>"
+    kind, width = ("<f8", 8) if double else ("<f4", 4)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if double else "array<float>").alias("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.coalesce(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    copies = rows.where(good).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    name = [F.xxhash64(F.lit(k), "embedding").alias(f"name{k}") for k in range(2)]  # of vectors, which are long keys for a join
+    nodes = stored(copies.select("rep", "copies", "embedding", F.size("embedding").alias("dim"), *name), "nodes")
+    sizes = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    of_bytes = lambda each, most: F.ceil(F.col("n") * each / F.lit(float(most))).cast("int")
+    shards = F.greatest(F.lit(least_shards), of_bytes(F.col("dim") * width + LINK_BYTES, shard_bytes))
+    sizes = stored(sizes.select("dim", shards.alias("shards"), F.greatest(F.lit(1), of_bytes(F.col("dim") * width, slice_bytes)).alias("slices")), "sizes")
+    sized = nodes.join(sizes, "dim")
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")).select("dim", "shard", "rep", "copies", "embedding")
+    graphs = stored(dealt.groupBy("dim", "shard").applyInPandas(_build(kind), INDEX), "graphs")
+    served = graphs.join(sizes, "dim").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("dim", "shard", "slice", "graph", "ids", "vectors", "weights")
+    asked = sized.withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("slices")).cast("int"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("dim", "shard", "slice", "rep", "embedding")
     keys = ("dim", "shard", "slice")
-    found = served.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_query(threshold, beam, widest), "rep long, n_links long, other long")
+    found = served.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_query(kind, threshold, beam, widest), FOUND)
     found = stored(found, "links")
-    sums = found.groupBy("rep").agg(F.sum("n_links").alias("n")).withColumnRenamed("rep", "sum_rep")
-    roots = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    known = nodes.join(sums, nodes["rep"] == sums["sum_rep"], "left").join(roots, nodes["rep"] == roots["node"], "left")
-    known = known.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "rep").alias("root"))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
-    linked = filled.join(known, "embedding").select("vec_id", "n", "root")
-    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    alone = rows.where(~F.coalesce(good, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("root"))
+    audit = found.where("asked is not null").agg(*[F.sum(c).alias(c) for c in ("truth", "met", "asked", "scanned")]).first()
+    links = found.where("rep is not null")
+    sums = links.groupBy("rep").agg(F.sum("n_links").alias("n")).withColumnRenamed("rep", "sum_rep")
+    roots = connected_components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    known = nodes.select("rep", "copies", "name0", "name1").join(sums, F.col("rep") == F.col("sum_rep"), "left").join(roots, F.col("rep") == F.col("node"), "left")
+    known = known.select("name0", "name1", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "rep").alias("root"))
+    linked = rows.where(good).select("vec_id", *name).join(known, ["name0", "name1"]).select("vec_id", "n", "root")
+    alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("root"))
+    total = {
+        "audit_links": F.lit(audit["truth"] or 0).cast("long"),
+        "audit_recall": F.lit(audit["met"] / audit["truth"] if audit["truth"] else None).cast("double"),
+        "scanned_share": F.lit(audit["scanned"] / audit["asked"] if audit["asked"] else None).cast("double"),
+    }
     out = linked.unionByName(alone)
-    return out.select("vec_id", F.col("n").alias("n_links"), F.col("root").alias("component_id"), (F.col("vec_id") == F.col("root")).alias("kept"))
+    return out.select("vec_id", F.col("n").alias("n_links"), F.col("root").alias("component_id"), (F.col("vec_id") == F.col("root")).alias("kept")).withColumns(total)

@@ -177,14 +177,17 @@ class Graph:
         return np.where(ids >= 0, self.order[ids], -1), sims
 
     def dump(self) -> bytes:
+        """The links; the vectors are kept apart."""
         out = io.BytesIO()
-        np.savez(out, x=self.x, order=self.order, **{f"layer{k}": a for k, a in enumerate(self.layers)})
+        np.savez(out, order=self.order.astype(np.int32), **{f"layer{k}": a for k, a in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> Graph:
+    def load(cls, data: bytes, x: np.ndarray) -> Graph:
+        """A dumped graph over the vectors, in the order in which they were given."""
         held = np.load(io.BytesIO(data))
         self = cls.__new__(cls)
-        self.x, self.order = held["x"], held["order"]
-        self.layers = [held[f"layer{k}"] for k in range(len(held.files) - 2)]
+        self.order = held["order"]
+        self.x = np.ascontiguousarray(x[self.order], np.float32)
+        self.layers = [held[f"layer{k}"] for k in range(len(held.files) - 1)]
         return self
