@@ -34,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import partitions, stored
+from kinloom.llm.common import stored
 from kinloom.llm.suffix_sort import PAD, share_prefix, sorted_suffixes, words_at
 
 CHUNK = "chunk long, n_bytes long, ids binary, sizes binary, text binary, whole long, part int, own long, no_id boolean"
 NO_ID = np.iinfo(np.int64).max
+MOST_TASKS = 8192
 _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -357,13 +358,13 @@ def _judged(chunks: DataFrame, flags: DataFrame, length: int, gram: int, bits: i
 
 
 def remove_repeats(
-    documents: DataFrame, length: int = 50, gram: int = 20, chunk_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, hot_docs: int = 16_384, digest: bool = False, task_bytes: int = 32 << 20
+    documents: DataFrame, length: int = 50, gram: int = 20, chunk_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, hot_docs: int = 16_384, digest: bool = False, task_bytes: int = 4 << 20
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) for every document; kept holds the bytes left, or their SHA-256 in hex with ``digest``. A shuffled task takes about ``task_bytes`` of text."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept) for every document; kept holds the bytes left, or their SHA-256 in hex with ``digest``. A shuffled task takes about ``task_bytes`` of text, and up to 16 times as much where there would be more than MOST_TASKS."""
     chunks = stored(_pack(documents, chunk_bytes, length), "chunks")
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(0, (size // bucket_bytes).bit_length())
-    parts = max(partitions(documents.sparkSession), -(-size // task_bytes))
+    parts = max(1, min(-(-size // task_bytes), max(MOST_TASKS, -(-size // (16 * task_bytes)))))
     flags = _marks(chunks, length, gram, bits, hot_docs, parts)
     judged = _judged(chunks, flags, length, gram, bits, parts)
     done = _by_chunk(chunks, flags.unionByName(judged), parts).applyInPandas(_drop(length, gram, bits, digest), f"{KEPT}, {PIECE}")

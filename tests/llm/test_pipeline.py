@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline  # noqa: E402
 from kinloom.llm.common import table  # noqa: E402
+from kinloom.llm.packing import Encoder  # noqa: E402
+from kinloom.llm.queries import tokenizer_files  # noqa: E402
 from tests.llm.test_line_dedup import brute as brute_lines  # noqa: E402
-from tests.llm.test_simhash import brute_components  # noqa: E402
+from tests.llm.test_near_duplicates import brute as brute_near  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,14 +28,14 @@ def test_stages_against_brute_force(spark):
 
     lines = stages["line_dedup"](spark, good, SF)
     assert lines.columns == docs.columns
-    want = {(i, t) for i, *_, t in brute_lines([(r.doc_id, r.text) for r in good_rows], 2)}
+    want = {(i, t) for i, *_, t in brute_lines([(r.doc_id, r.text) for r in good_rows], 2, 50)}
     line_rows = lines.collect()
     assert {(r.doc_id, r.text) for r in line_rows} == want and all(r.n_chars == len(r.text) for r in line_rows)
 
     near = stages["simhash_dedup"](spark, lines, SF)
     assert near.columns == docs.columns
-    groups = brute_components([(r.doc_id, r.text) for r in line_rows], 5, 21, 2)
-    assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, _, c in groups if i == c)
+    groups = brute_near([(r.doc_id, r.text) for r in line_rows])
+    assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, c in groups if i == c)
 
     mixed = stages["poisson_mix"](spark, near, SF)
     assert mixed.columns == docs.columns
@@ -42,6 +44,24 @@ def test_stages_against_brute_force(spark):
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert {r.doc_id: r.n for r in whole.collect()} == counts
 
+    # the sequences can be built from the result alone, and hold every copy's tokens
+    own = Encoder(tokenizer_files()["tokenizer_path"])
+    rows = packed.collect()
+    bins, copies = {}, {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.ids))
+        copies.setdefault((r.doc_id, r.copy), []).append((r.start, r.ids))
+    for parts in bins.values():
+        at = 0
+        for offset, ids in sorted(parts):
+            assert offset == at
+            at += len(ids)
+        assert at <= 1024
+    texts = {r.doc_id: r.text for r in near.collect()}
+    assert len(copies) == mixed.count()
+    for (doc, _), parts in copies.items():
+        assert [x for _, ids in sorted(parts) for x in ids] == [*own(texts[doc] or ""), 2]
+
 
 def test_odd_rows_run_through(spark):
     rows = [(1, "a fine text of words\nand more", "en", "s", 28, 1), (1, "a fine text of words\nand more", "en", "s", 28, 1), (None, None, None, None, None, None), (2, "", "en", None, 0, 2), (3, "word " * 100_000, None, "s", 5, 3)]
