@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from kinloom.functions import text
-from kinloom.operators.addresses import COLUMNS, parse
+from kinloom.operators.addresses import parse_addresses
 from kinloom.operators.learned import break_words
 
 
@@ -42,26 +42,38 @@ def test_letters_and_leet(spark):
     assert [(g.full, g.core, g.key, g.legal) for g in got] == [("the acme corp ltd", "acme", "acme", "corp ltd"), ("ltd", "ltd", "ltd", "ltd"), ("of the", "of the", "of the", "")]
 
 
-NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
-
-
-def address(raw, country):
-    return dict(zip(NAMES, parse(raw, country), strict=True))
-
-
-def test_addresses():
-    a = address("No. 12-4, 3rd Main Rd, Near City Park, Bangalore, KA 560001", "India")
-    assert (a["state"], a["postcode"], a["city"], a["house"], a["house_digits"], a["landmark"]) == ("karnataka", "560001", "bangalore", "12-4", "12", True)
-    assert a["street"].split()[:3] == ["3", "main", "road"]
-    a = address("0045 W Oak St Apt 7B, Springfield, IL 62704", "US")
-    assert (a["state"], a["postcode"], a["city"], a["house"], a["unit"]) == ("il", "62704", "springfield", "45", "7b")
-    a = address("12 bis r de la Paix, 59000 Lille, Nord", "France")
-    assert (a["state"], a["postcode"], a["city"], a["house"], a["house_suffix"], a["street"]) == ("hauts de france", "59000", "lille", "12", "bis", "rue de la paix")
-    a = address("New York, 5 Main St, NY", "US")
-    assert (a["state"], a["city"]) == ("ny", "new york")
-    assert address("Hyderabad, Telangana", "India")["state"] == address("Hyderabad, AP", "India")["state"]
-    assert address(None, "US")["is_empty"] and address("null, ,", "US")["components"] == 0
-    assert address("12 High St, Town", "Narnia")["house"] == "12"
+def test_addresses(spark):
+    cases = [
+        ("No. 12-4, 3rd Main Rd, Near City Park, Bangalore, KA 560001", "India", {"state": "karnataka", "postcode": "560001", "city": "bangalore", "house": "12-4", "house_digits": "12", "landmark": True, "street": "3 main road city park"}),
+        ("0045 W Oak St Apt 7B, Springfield, IL 62704", "US", {"state": "il", "postcode": "62704", "city": "springfield", "house": "45", "unit": "7b"}),
+        ("12 bis r de la Paix, 59000 Lille, Nord", "France", {"state": "hauts de france", "postcode": "59000", "city": "lille", "house": "12", "house_suffix": "bis", "street": "rue de la paix"}),
+        ("New York, 5 Main St, NY", "US", {"state": "ny", "city": "new york"}),
+        ("Oregon, Salem, 5 Main St, OR", "US", {"state": "or", "places": "salem|oregon"}),
+        ("Hyderabad, Telangana", "India", {"state": "andhra pradesh telangana"}),
+        ("Hyderabad, AP", "India", {"state": "andhra pradesh telangana"}),
+        (None, "US", {"is_empty": True, "state": "", "house": "", "words": ""}),
+        ("null, ,", "US", {"components": 0}),
+        ("12 High St, Town", "Narnia", {"house": "12", "street": "high st", "city": "town"}),
+        ("12 High St, Town", None, {"house": "12"}),
+        ("00207 R. DU MOULIN, TOURCOING, Hauts-de-France", "France", {"house_digits": "207", "state": "hauts de france", "city": "tourcoing", "street": "rue du moulin"}),
+        ("N° 8 R DES VIGNES, Dijon", "France", {"house_digits": "8", "city": "dijon"}),
+        ("Angers, 21 - R PASTEUR", "France", {"house_digits": "21", "city": "angers", "street": "rue pasteur"}),
+        ("44BIS R ÉMILE ZOLA, PÉRIGUEUX, Nouvelle-Aquitaine", "France", {"house_digits": "44", "house_suffix": "bis", "city": "perigueux", "state": "nouvelle aquitaine"}),
+        ("812 CEDAR ST, null, DAYTON, OH", "US", {"house": "812", "state": "oh", "city": "dayton", "street": "cedar street", "components": 3}),
+        ("TX, LAMAR AVE, AUSTIN", "US", {"house": "", "state": "tx", "street": "lamar avenue", "city": "austin"}),
+        ("52 East Lake Hills Cir, Alaska, Juneau", "US", {"state": "ak", "street": "east lake hills circle"}),
+        ("BOISE, ID, 17 1/2 ELM TRAIL", "US", {"house": "17", "city": "boise"}),
+        ("900 Field Drive, Unit APARTMENT G, Salem, MA", "US", {"house": "900", "unit": "g", "street": "field drive"}),
+        ("Unit 12, Macon, GA, 77 Hunt Road", "US", {"house": "77", "unit": "12"}),
+        ("14 52ND TERRACE, null, OMAHA CITY, NE", "US", {"street": "52 terrace", "city": "omaha"}),
+        ("#331 PINE STREET, TULSA CDP, OK", "US", {"house_digits": "331", "city": "tulsa"}),
+        ("KH NO. -42/7, NEW DELHI, WEST DELHI, Delhi", "India", {"house_digits": "42", "state": "delhi", "places": "new delhi|west delhi"}),
+        ("House No #9, 3Rd Floor, Block E, Delhi, North West Delhi, DL", "India", {"house_digits": "9", "state": "delhi"}),
+    ]
+    rows = spark.createDataFrame([(i, a, c) for i, (a, c, _) in enumerate(cases)], "id int, addr string, country string")
+    got = {r.id: r.asDict() for r in parse_addresses(rows).collect()}
+    wrong = [(a, k, got[i][k], v) for i, (a, _, want) in enumerate(cases) for k, v in want.items() if got[i][k] != v]
+    assert wrong == []
 
 
 def test_words_are_broken_at_least_cost():
