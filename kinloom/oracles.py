@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from kinloom.address_sql import parse_sql
 from kinloom.functions import text as t
 
 ORACLES: dict[str, str] = {}
@@ -377,3 +378,6 @@ oracle(
     "state_partition_topk",
     "SELECT s1, cand, block_sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY block_sim DESC, cand)::INTEGER AS rank FROM (SELECT a.id AS s1, b.id AS cand, round(sum(a.w * b.w), 9) AS block_sim FROM nw a JOIN nw b ON a.src = 1 AND b.src <> 1 AND a.part = b.part AND a.token = b.token AND (a.state = b.state OR a.state = '' OR b.state = '') GROUP BY 1, 2)) WHERE rank <= 5",
 )
+
+_samples = "VALUES (-1::BIGINT, 'No. 12-4, 3rd Main Rd, Near Park, Bangalore, KA 560001', 'India'), (-2, '0045 W Oak St Apt 7B, Springfield, IL 62704', 'US'), (-3, '12 bis r de la Paix, 59000 Lille', 'France')"
+oracle("parse_address", parse_sql(f"SELECT doc_id AS id, addr, country FROM er UNION ALL SELECT * FROM ({_samples}) v(id, addr, country)"))
