@@ -79,7 +79,7 @@ CTES = {
     "pf": "SELECT s1, cand, block_sim FROM cands WHERE rank <= 5",
     "rich": "SELECT s.s1, s.cand, s.p, s.rank, r.src, r.country, r.core_name AS key, regexp_extract(r.addr, '\\p{Nd}+') AS house FROM scored s JOIN rec r ON s.cand = r.entity_id",
     "sib": """SELECT DISTINCT b.s1, m.id AS cand FROM (SELECT DISTINCT c.s1, k.part, k.key FROM cands c JOIN sk k ON c.cand = k.id WHERE c.rank <= 3 AND k.key <> '') b
-  JOIN (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY part, key) AS size FROM sk WHERE key <> '') WHERE size <= 20) m ON b.part = m.part AND b.key = m.key""",
+  JOIN (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY part, key) AS size FROM sk WHERE key <> '') WHERE size <= 50) m ON b.part = m.part AND b.key = m.key""",
     "keys": "SELECT entity_id AS id, src, country AS part, coalesce(array_to_string(string_split(core_name, ' ')[1:2], ' '), '') AS key FROM rec",
     "sk": "SELECT * FROM keys WHERE src <> 1",
     "united": """SELECT s1, cand, coalesce(max(sim_a), 0) AS sim_a, coalesce(max(sim_b), 0) AS sim_b, coalesce(max(sim_r), 0) AS sim_r, coalesce(min(rank_a), 99)::INTEGER AS rank_a, coalesce(min(rank_b), 99)::INTEGER AS rank_b, coalesce(min(rank_r), 99)::INTEGER AS rank_r,
@@ -139,11 +139,11 @@ oracle("tfidf_weights", "SELECT id, token, round(w, 9) AS w FROM w WHERE src <>
 oracle("tfidf_topk", "SELECT s1, cand, block_sim, rank FROM cands")
 oracle("tfidf_reverse_topk", "SELECT s1, cand, block_sim, rank FROM back")
 oracle("char_trigram_topk", "SELECT s1, cand, block_sim, rank FROM grams")
-_exact = lambda col, bit: f"SELECT a.entity_id AS s1, b.entity_id AS cand, {bit} AS x FROM (SELECT *, count(*) OVER (PARTITION BY country, {col}) AS size FROM rec WHERE src = 1 AND {col} <> '') a JOIN (SELECT *, count(*) OVER (PARTITION BY country, {col}) AS size FROM rec WHERE src <> 1 AND {col} <> '') b ON a.country = b.country AND a.{col} = b.{col} AND a.size <= 30 AND b.size <= 30"
+_exact = lambda col, bit: f"SELECT a.entity_id AS s1, b.entity_id AS cand, {bit} AS x FROM (SELECT *, count(*) OVER (PARTITION BY country, {col}) AS size FROM rec WHERE src = 1 AND {col} <> '') a JOIN (SELECT *, count(*) OVER (PARTITION BY country, {col}) AS size FROM rec WHERE src <> 1 AND {col} <> '') b ON a.country = b.country AND a.{col} = b.{col} AND a.size <= 3000 AND b.size <= 3000"
 oracle("exact_key_block", f"SELECT s1, cand, bit_or(x)::INTEGER AS x FROM ({_exact('core_name', 1)} UNION ALL {_exact('core_addr', 2)} UNION ALL {_exact('acr', 4)}) u GROUP BY s1, cand")
 oracle("key_pool_cap", "SELECT p_partkey, p_name AS key, p_brand AS part, pool_size FROM (SELECT *, count(*) OVER (PARTITION BY p_brand, p_name) AS pool_size FROM part) WHERE pool_size <= 4")
 oracle("sibling_expand", "SELECT s1, cand FROM sib")
-oracle("direct_key_lookup", "SELECT a.id AS s1, m.id AS cand FROM keys a JOIN (SELECT *, count(*) OVER (PARTITION BY part, key) AS size FROM sk WHERE key <> '') m ON a.src = 1 AND a.part = m.part AND a.key = m.key AND m.size <= 20")
+oracle("direct_key_lookup", "SELECT a.id AS s1, m.id AS cand FROM keys a JOIN (SELECT *, count(*) OVER (PARTITION BY part, key) AS size FROM sk WHERE key <> '') m ON a.src = 1 AND a.part = m.part AND a.key = m.key AND m.size <= 50")
 oracle("blocker_union", "SELECT * FROM united")
 oracle("extras_antijoin", "SELECT s1, cand FROM sib ANTI JOIN cands USING (s1, cand)")
 oracle("fill_similarity", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY block_sim DESC, cand)::INTEGER AS rank FROM (SELECT x.s1, x.cand, coalesce(s.block_sim, 0) AS block_sim FROM (SELECT s1, cand FROM sib ANTI JOIN cands USING (s1, cand)) x LEFT JOIN sims s ON x.s1 = s.s1 AND x.cand = s.cand)) WHERE rank <= 3")
@@ -159,7 +159,7 @@ oracle("orphans", "SELECT entity_id AS id FROM s1 WHERE entity_id NOT IN (SELECT
 oracle("recall_ceiling", f"SELECT k, round(1.25::DOUBLE * r / (0.25::DOUBLE + r), 6) AS ceiling FROM (SELECT k, round(count(*) FILTER (c.rank <= k AND c.y = 1)::DOUBLE / nullif({_total}, 0), 9) AS r FROM labelled c, (SELECT unnest([1, 10])::INTEGER AS k) GROUP BY k)")
 oracle(
     "embedding_knn",
-    "SELECT query_id, rank, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 6) AS sim FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 7 AND c.vec_id <> q.vec_id)) WHERE rank <= 5",
+    "SELECT query_id, rank, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 6) AS sim FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)) WHERE rank <= 5",
 )
 
 _jac = lambda a, b: f"CASE WHEN len(list_distinct({a} || {b})) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct({a} || {b})), 6) END"

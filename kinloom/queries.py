@@ -220,7 +220,7 @@ def keyed(rows: DataFrame) -> DataFrame:
 @query
 def exact_key_block(spark, sf):
     rows = er(spark, sf)
-    return retrieval.exact_key_pairs(keyed(s1_of(rows)), keyed(pool_of(rows)), {"k_name": 1, "k_addr": 2, "k_acronym": 4}, cap=30)
+    return retrieval.exact_key_pairs(keyed(s1_of(rows)), keyed(pool_of(rows)), {"k_name": 1, "k_addr": 2, "k_acronym": 4}, cap=300)
 
 
 @query
@@ -234,7 +234,7 @@ def sibling_key(rows: DataFrame) -> DataFrame:
 
 
 def siblings(spark, sf):
-    return retrieval.sibling_pairs(candidates(spark, sf), sibling_key(pool_of(er(spark, sf))), top=3, cap=20)
+    return retrieval.sibling_pairs(candidates(spark, sf), sibling_key(pool_of(er(spark, sf))), top=3, cap=50)
 
 
 @query
@@ -245,7 +245,7 @@ def sibling_expand(spark, sf):
 @query
 def direct_key_lookup(spark, sf):
     rows = er(spark, sf)
-    return retrieval.direct_key_pairs(sibling_key(s1_of(rows)), sibling_key(pool_of(rows)), cap=20)
+    return retrieval.direct_key_pairs(sibling_key(s1_of(rows)), sibling_key(pool_of(rows)), cap=50)
 
 
 def united(spark, sf):
@@ -304,7 +304,7 @@ def recall_ceiling(spark, sf):
 
 @query
 def embedding_knn(spark, sf):
-    return retrieval.dense_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 7, 5)
+    return retrieval.dense_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, 5)
 
 
 # ---- pair features --------------------------------------------------------------------------------------------------
