@@ -331,7 +331,7 @@ oracle(
   SELECT *, CASE WHEN len(core) > 0 THEN core WHEN len(bare) > 0 THEN bare ELSE whole END AS kept FROM (SELECT *, list_filter(bare, lambda w: NOT list_contains({_forms}, w)) AS core FROM (SELECT *, list_filter(whole, lambda w: NOT list_contains({lit(t.NAME_STOPWORDS)}, w)) AS bare FROM (
     SELECT entity_id, list_transform(list_transform(toks, lambda w: {_leet}), lambda w: coalesce({_canon}[w], w)) AS whole FROM runs))))""",
 )
-CTES["lists"] = """SELECT e.entity_id AS s1, coalesce(string_agg(c.cand, ',' ORDER BY c.cand), '') AS list FROM s1 e LEFT JOIN cands c ON e.entity_id = c.s1 AND c.rank <= 2 WHERE e.doc_id % 10 <> 1 GROUP BY 1
+CTES["lists"] = """SELECT e.entity_id AS s1, coalesce(string_agg(c.cand, ',' ORDER BY c.cand), '') AS list FROM s1 e LEFT JOIN cands c ON e.entity_id = c.s1 AND c.rank <= 2 GROUP BY 1
   UNION ALL VALUES ('S1-x', 'S2-1,S2-1'), ('S1-x', 'S1-9'), ('S1-y', 'Q-1'), ('', 'S2-00000002')"""
 CTES["cells"] = "SELECT * FROM (SELECT s1, unnest(string_split(list, ',')) AS cand FROM lists) WHERE cand <> ''"
 oracle(
@@ -341,7 +341,7 @@ UNION ALL SELECT 'duplicate_entity', count(*) FROM (SELECT s1 FROM lists GROUP B
 UNION ALL SELECT 'duplicate_id_in_list', count(*) FROM (SELECT s1, cand FROM cells GROUP BY s1, cand HAVING count(*) > 1)
 UNION ALL SELECT 'self_match', count(*) FROM cells WHERE starts_with(cand, 'S1-')
 UNION ALL SELECT 'wrong_prefix', count(*) FROM cells WHERE NOT regexp_matches(cand, '^S[123]-')
-UNION ALL SELECT 'missing_entity', count(*) FROM s1 WHERE entity_id NOT IN (SELECT s1 FROM lists)
+UNION ALL SELECT 'missing_entity', count(*) FROM (SELECT entity_id FROM s1 UNION SELECT 'S1-z') WHERE entity_id NOT IN (SELECT s1 FROM lists)
 UNION ALL SELECT 'unknown_entity', count(DISTINCT s1) FROM lists WHERE s1 NOT IN (SELECT entity_id FROM s1)
 UNION ALL SELECT 'unknown_id', count(*) FROM cells WHERE cand NOT IN (SELECT entity_id FROM pool)
 UNION ALL SELECT 'not_a_candidate', count(*) FROM (SELECT DISTINCT s1, cand FROM cells) x ANTI JOIN (SELECT s1, cand FROM cands WHERE rank = 1) y USING (s1, cand)""",

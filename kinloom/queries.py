@@ -95,10 +95,11 @@ def submission_lists(spark, sf):
 def validator_report(spark, sf):
     rows = er(spark, sf)
     own, found = s1_of(rows), candidates(spark, sf)
-    lists = records.id_lists(own.where("doc_id % 10 <> 1"), found.where("rank <= 2"), "matched_entity_ids")
-    # violations on purpose: a repeated entity, a repeated id, a self match, a bad prefix, an unknown entity
+    lists = records.id_lists(own, found.where("rank <= 2"), "matched_entity_ids")
+    # violations on purpose: a repeated entity, a repeated id, a self match, a bad prefix, an unknown entity, an entity without a list
     bad = spark.createDataFrame([("S1-x", "S2-1,S2-1"), ("S1-x", "S1-9"), ("S1-y", "Q-1"), ("", "S2-00000002")], "source1_entity_id string, matched_entity_ids string")
-    return records.validate_lists(lists.unionByName(bad), found.where("rank <= 1"), own, pool_of(rows))
+    entities = own.select("entity_id").unionByName(spark.createDataFrame([("S1-z",)], "entity_id string"))
+    return records.validate_lists(lists.unionByName(bad), found.where("rank <= 1"), entities, pool_of(rows))
 
 
 @query
