@@ -123,6 +123,25 @@ def pseudo_labels(pairs: DataFrame, high: float = 0.995, low: float = 0.005, mar
     return rows.select("s1", "cand", positive.cast("int").alias("y"), F.when(positive, 1.0).otherwise(F.lit(1 / share)).alias("weight"))
 
 
+def slice_pseudo_labels(pairs: DataFrame, high: float = 0.97, low: float = 0.03, margin: float = 0.3, twin: float = 0.3, plausible: float = 0.01, most: tuple[int, int, int, int] = (120_000, 100_000, 20_000, 50_000)) -> DataFrame:
+    """(s1, cand, kind, label) from one slice's pairs (s1, cand, p1, p, house1, house2), unique: confident best claims with one house number as
+    positives, confident negatives (plausible to the first model or not), and twins, which are an accepted entity's other middling pairs. Samples of each kind by hash, of at most ``most`` rows."""
+    rows = best_other(claims(pairs)).withColumn("accepted", (F.col("p") > high) & (F.col("claim_rank") == 1) & (F.col("margin") > margin) & (F.col("house1") == F.col("house2")) & (F.col("house1") != ""))
+    rows = rows.withColumn("owner", F.coalesce(F.max("accepted").over(_by("s1")), F.lit(False)))
+    kinds = {
+        "positive": F.col("accepted"),
+        "plausible": (F.col("p") < low) & (F.col("p1") >= plausible),
+        "implausible": (F.col("p") < low) & (F.col("p1") < plausible),
+        "twin": F.col("owner") & (F.col("p") < twin) & (F.col("p") >= low),
+    }
+    out = None
+    for (kind, test), n in zip(kinds.items(), most, strict=True):
+        part = rows.where(test).select("s1", "cand", F.lit(kind).alias("kind"), F.lit(1.0 if kind == "positive" else 0.0).alias("label"))
+        part = part.orderBy(F.md5(F.concat_ws("|", "s1", "cand")), "s1", "cand").limit(n)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def hard_negatives(labelled: DataFrame, per_entity: int = 2) -> DataFrame:
     """(s1, cand, kind): of the negatives (y = 0) of each entity, the most probable and one chosen by hash."""
     rows = labelled.where("y = 0").withColumns(

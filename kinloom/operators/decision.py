@@ -166,27 +166,136 @@ def rates(entities: DataFrame, predicted: DataFrame) -> DataFrame:
     return rows.groupBy("slice").agg(F.count(F.lit(1)).alias("entities"), F.round(F.avg((F.col("n") == 0).cast("double")), 6).alias("singleton_rate"), F.round(F.avg("n"), 6).alias("links_per_entity"))
 
 
-def decision_grid(pairs: DataFrame, truth: DataFrame, entities: DataFrame, modes: tuple[str, ...], thresholds: tuple[float, ...], misses: tuple[float, ...] = ()) -> DataFrame:
-    """(mode, rule, value, f05) of every rule; entities is (s1).
+def _f_value(n_true: Column, n_pred: Column, tp: Column) -> Column:
+    part = F.lit(1 + B2) * tp / (F.lit(B2) * n_true + n_pred)
+    return F.when((n_true == 0) & (n_pred == 0), 1.0).when((n_true == 0) | (n_pred == 0), 0.0).otherwise(part)
 
-    Thresholds are evaluated together: each kept pair counts for all thresholds up to its p, so a mode costs one pass over the pairs
-    times the few thresholds, aggregated per entity.
-    """
-    n = entities.select("s1").distinct()
-    out = None
+
+def _hits(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0), lambda a, x: a + x["y"])
+
+
+def _entity_lists(rows: DataFrame, truth: DataFrame, entities: DataFrame, lists: dict[str, Column]) -> DataFrame:
+    """(s1, n_true, one array per list): every entity's scored pairs, best first, as long as the candidates retrieval keeps; each struct has n = -p, cand and y."""
     true = truth.select("s1", "cand", F.lit(1).alias("y")).distinct()
     n_true = true.groupBy("s1").agg(F.count(F.lit(1)).alias("n_true"))
-    for mode in modes:
-        rows = assign(pairs, mode).join(true, ["s1", "cand"], "left").select("s1", "p", F.coalesce("y", F.lit(0)).alias("y"))
-        grid = F.array(*[F.lit(float(t)) for t in thresholds])
-        each = rows.select("s1", "y", F.explode(F.filter(grid, lambda t: t <= F.col("p"))).alias("value"))
-        counts = each.groupBy("s1", "value").agg(F.count(F.lit(1)).alias("n_pred"), F.sum("y").alias("tp"))
-        per = n.select("s1", F.explode(grid).alias("value")).join(n_true, "s1", "left").join(counts, ["s1", "value"], "left").na.fill(0, ["n_true", "n_pred", "tp"])
-        part = F.lit(1 + B2) * F.col("tp") / (F.lit(B2) * F.col("n_true") + F.col("n_pred"))
-        f = F.when((F.col("n_true") == 0) & (F.col("n_pred") == 0), 1.0).when((F.col("n_true") == 0) | (F.col("n_pred") == 0), 0.0).otherwise(part)
-        table = per.groupBy("value").agg(F.round(F.avg(f), 6).alias("f05")).select(F.lit(mode).alias("mode"), F.lit("threshold").alias("rule"), "value", "f05")
-        out = table if out is None else out.unionByName(table)
-        for miss in misses:
-            chosen = entity_scores(n, truth, expected_f(assign(pairs, mode), miss))
-            out = out.unionByName(chosen.agg(F.round(F.avg("f"), 6).alias("f05")).select(F.lit(mode).alias("mode"), F.lit("expected_f").alias("rule"), F.lit(float(miss)).alias("value"), "f05"))
+    marked = rows.join(true, ["s1", "cand"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    own = marked.groupBy("s1").agg(*[F.array_sort(F.collect_list(item)).alias(name) for name, item in lists.items()])
+    out = entities.select("s1").distinct().join(n_true, "s1", "left").join(own, "s1", "left").na.fill(0, ["n_true"])
+    return out.withColumns({name: F.coalesce(name, F.array()) for name in lists})
+
+
+def _expected_count(items: Column, miss: Column) -> Column:
+    """struct(n, tp) that expected_f keeps of a list."""
+    total = F.aggregate(items, F.lit(0.0), lambda a, x: a - x["n"]) + miss
+    empty = F.exp(F.aggregate(items, F.lit(0.0), lambda a, x: a + F.log1p(-F.least(-x["n"], F.lit(1 - 1e-12)))) - miss)
+    start = F.struct(total.alias("total"), empty.alias("empty"), F.lit(0.0).alias("cum"), F.lit(0).alias("k"), F.lit(0).alias("seen"), F.lit(0.0).alias("best"), F.lit(0).alias("n"), F.lit(0).alias("tp"))
+
+    def step(a: Column, x: Column) -> Column:
+        cum, k, seen = a["cum"] - x["n"], a["k"] + 1, a["seen"] + x["y"]
+        v = F.lit(1 + B2) * cum / (F.lit(B2) * a["total"] + k)
+        pick = lambda new, old: F.when(v > a["best"], new).otherwise(a[old])
+        return F.struct(a["total"].alias("total"), a["empty"].alias("empty"), cum.alias("cum"), k.alias("k"), seen.alias("seen"), pick(v, "best").alias("best"), pick(k, "n").alias("n"), pick(seen, "tp").alias("tp"))
+
+    worth = lambda a, c: F.when(a["best"] > a["empty"], a[c]).otherwise(0)
+    return F.aggregate(items, start, step, lambda a: F.struct(worth(a, "n").alias("n"), worth(a, "tp").alias("tp")))
+
+
+def decision_grid(pairs: DataFrame, truth: DataFrame, entities: DataFrame, modes: tuple[str, ...], thresholds: tuple[float, ...], misses: tuple[float, ...] = (), exact: bool = False) -> DataFrame:
+    """(mode, rule, value, f05) of every rule; entities is (s1), pairs are unique.
+
+    One window over records serves all modes and one aggregate per entity holds its scored pairs, so the pairs are read and shuffled
+    equally often for any grid: rules are evaluated on the lists, and only sums per rule are shuffled after that.
+    """
+    by = Window.partitionBy("cand")
+    total = F.sum("p").over(by)
+    ways = {"none": F.col("p"), "hard": F.when(F.row_number().over(by.orderBy(F.desc("p"), "s1")) == 1, F.col("p")), "soft": F.col("p") * F.col("p") / F.when(total > 0, total).otherwise(F.lit(1.0))}
+    rows = pairs.select("s1", "cand", *[ways[m].alias(f"p_{m}") for m in modes])
+    item = lambda m: F.when(F.col(f"p_{m}").isNotNull(), F.struct((-F.col(f"p_{m}")).alias("n"), "cand", "y"))
+    per = _entity_lists(rows, truth, entities, {f"l_{m}": item(m) for m in modes})
+    doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    n_true = F.col("n_true")
+
+    def cell(mode: str, rule: str, value: Column, kept: Column) -> Column:
+        return F.struct(F.lit(mode).alias("mode"), F.lit(rule).alias("rule"), value.alias("value"), _f_value(n_true, kept["n"], kept["tp"]).alias("f"))
+
+    counts = lambda kept: F.struct(F.size(kept).alias("n"), _hits(kept).alias("tp"))
+
+    def rules(mode: str) -> list[Column]:
+        own = F.col(f"l_{mode}")
+        out = [F.transform(doubles(thresholds), lambda t: cell(mode, "threshold", t, counts(F.filter(own, lambda x: -x["n"] >= t))))]
+        if misses:
+            out.append(F.transform(doubles(misses), lambda m: cell(mode, "expected_f", m, _expected_count(own, m))))
+        for miss in misses if exact else ():
+            ps = F.transform(own, lambda x: -x["n"])
+            out.append(F.array(cell(mode, "expected_f_exact", F.lit(float(miss)), counts(F.slice(own, F.lit(1), best_count_exact(ps, miss))))))
+        return out
+
+    cells = [c for mode in modes for c in rules(mode)]
+    table = per.select("n_true", F.explode(F.concat(*cells)).alias("c")).select("c.*")
+    return table.groupBy("mode", "rule", "value").agg(F.round(F.avg("f"), 6).alias("f05"))
+
+
+def tune_rules(pairs: DataFrame, truth: DataFrame, entities: DataFrame, slopes: tuple[float, ...], shifts: tuple[float, ...], thresholds: tuple[float, ...], deltas: tuple[float, ...], least: float = 1e-3, most: int = 10) -> DataFrame:
+    """(method, a, b, delta, t, f05): log-odds slopes by shifts under expected F, then thresholds, then leads (delta) for the best of these; t is 0 under expected F.
+
+    A rising adjustment does not change which entity a record goes to, so records are given away once and every rule reads the same lists
+    of won pairs. Equal values go to the earlier rule. The driver holds one row per rule.
+    """
+    by = Window.partitionBy("cand")
+    rows = pairs.where(F.col("p") >= least).withColumn("rn", F.row_number().over(by.orderBy(F.desc("p"), "s1")))
+    rows = rows.withColumn("second", F.max(F.when(F.col("rn") == 2, F.col("p"))).over(by)).where("rn = 1").select("s1", "cand", "p", "second")
+    per = _entity_lists(rows, truth, entities, {"items": F.struct((-F.col("p")).alias("n"), "cand", "second", "y")})
+
+    def evaluate(rules: list[tuple]) -> DataFrame:
+        grid = F.array(*[F.struct(F.lit(m).alias("method"), *[F.lit(float(v)).alias(c) for c, v in zip("a b delta t".split(), r, strict=True)]) for m, *r in rules])
+        each = per.select("n_true", "items", F.explode(grid).alias("r")).select("n_true", "items", "r.*")
+        adjust = lambda p: affine_log_odds(p, F.col("a"), F.col("b"))
+        lead = lambda x: adjust(-x["n"]) - F.when(x["second"].isNull(), 0.0).otherwise(adjust(x["second"]))
+        each = each.withColumn("items", F.filter("items", lambda x: lead(x) >= F.col("delta")))
+        each = each.withColumn("ps", F.transform("items", lambda x: adjust(-x["n"])))
+        by_f = F.when(F.size("ps") == 0, 0).otherwise(best_count_joint(F.col("ps"), most))
+        each = each.withColumn("n", F.when(F.col("method") == "ef", by_f).otherwise(F.size(F.filter("ps", lambda p: p >= F.col("t")))))
+        f = _f_value(F.col("n_true"), F.col("n"), _hits(F.slice("items", F.lit(1), F.col("n"))))
+        return each.groupBy("method", "a", "b", "delta", "t").agg(F.round(F.avg(f), 6).alias("f05"))
+
+    rules = [("ef", a, b, 0.0, 0.0) for a in slopes for b in shifts] + [("thr", 1.0, 0.0, 0.0, t) for t in thresholds]
+    first = evaluate(rules)
+    found = {tuple(r)[:5]: r["f05"] for r in first.collect()}  # one row per rule
+    method, a, b, _, t = max(rules, key=lambda r: found[r])
+    table = pairs.sparkSession.createDataFrame([(*r, found[r]) for r in rules], first.schema)
+    return table.unionByName(evaluate([(method, a, b, d, t) for d in deltas])) if deltas else table
+
+
+def parse_rule(spec: str) -> tuple[str | None, str, str, float]:
+    """"assign:select:value" or "slice=assign:select:value" as (slice or None, assign, select, value)."""
+    slice_, _, rule = spec.rpartition("=")
+    parts = rule.split(":")
+    if len(parts) != 3 or parts[1] not in ("threshold", "expected_f", "expected_f_exact"):
+        raise ValueError(f"{spec!r} is not assign:select:value")
+    return slice_ or None, parts[0], parts[1], float(parts[2])
+
+
+def redecide(pairs: DataFrame, specs: tuple[str, ...]) -> DataFrame:
+    """(s1, cand, slice): pairs (s1, cand, slice, p) assigned once by the default rule over all slices, then selected by each slice's own rule."""
+    rules = {r[0]: r[1:] for r in map(parse_rule, specs)}
+    if None not in rules:
+        raise ValueError("one rule without a slice is the default")
+    select = {"threshold": select_threshold, "expected_f": expected_f, "expected_f_exact": expected_f_exact}
+    assigned = assign(pairs, rules[None][0])
+    own = F.coalesce("slice", F.lit("")).isin(*[k for k in rules if k])
+    out = None
+    for name, (_, how, value) in rules.items():
+        part = select[how](assigned.where(~own if name is None else F.col("slice") == name), value).select("s1", "cand", "slice")
+        out = part if out is None else out.unionByName(part)
     return out
+
+
+def output_summary(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rows, with_matches, singletons, singleton_rate, mean_matches, outside): one row about lists (s1, matched ids joined by commas) and the candidate pairs they must come from; null and empty lists hold nothing."""
+    ids = F.filter(F.split(F.coalesce("ids", F.lit("")), ","), lambda x: x != "")
+    rows = lists.select("s1", ids.alias("ids"))
+    bad = rows.select("s1", F.explode("ids").alias("cand")).join(pairs.select("s1", "cand"), ["s1", "cand"], "left_anti").select("s1").distinct()
+    n = F.size("ids")
+    found = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(n > 0).alias("with_matches"), F.count_if(n == 0).alias("singletons"), F.round(F.avg((n == 0).cast("double")), 6).alias("singleton_rate"), F.round(F.avg(n), 6).alias("mean_matches"))
+    return found.crossJoin(bad.agg(F.count(F.lit(1)).alias("outside")))  # one row each

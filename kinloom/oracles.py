@@ -279,6 +279,27 @@ oracle(
   SELECT s1, cand, country AS slice, 1 / (1 + exp(-(CASE country WHEN 'fr' THEN 0.9::DOUBLE ELSE 1.1::DOUBLE END * ln(p / (1 - p)) + CASE country WHEN 'de' THEN 0.5::DOUBLE ELSE -0.2::DOUBLE END))) AS p, CASE country WHEN 'fr' THEN 0.1::DOUBLE ELSE 0 END AS delta, CASE country WHEN 'fr' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS cut FROM rich))
   WHERE rn = 1 AND p - coalesce(second, 0) >= delta AND p >= cut""",
 )
+def recursive(body: str, tables: str) -> str:
+    """A body of recursive tables and a select, after the shared tables that ``tables`` need."""
+    tail = "SELECT * FROM " + tables
+    return "WITH RECURSIVE " + sql(tail).removeprefix("WITH ").removesuffix(" " + tail) + ", " + body
+
+
+def _joint(source: str, key: str, most: int = 10) -> str:
+    """Tables up to best (key, n): pre and suf are the distributions of the links among the first k and among the others of lst (key, p, k)."""
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in key.split(", "))
+    grown = "list_transform(range(1, len(m.f) + 2), lambda i: coalesce(m.f[i], 0) * (1 - l.p) + CASE WHEN i > 1 THEN m.f[i - 1] * l.p ELSE 0 END)"
+    cols = lambda a: ", ".join(f"{a}.{c}" for c in key.split(", "))
+    return f"""lst AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY p DESC, cand) AS k FROM {source}),
+size AS (SELECT {key}, count(*) AS n FROM lst GROUP BY {key}),
+pre AS (SELECT {key}, 0::BIGINT AS k, [1.0::DOUBLE] AS f FROM size UNION ALL SELECT {cols('m')}, m.k + 1, {grown} FROM pre m JOIN lst l ON {same('m', 'l')} AND l.k = m.k + 1),
+suf AS (SELECT {key}, n AS k, [1.0::DOUBLE] AS f FROM size UNION ALL SELECT {cols('m')}, m.k - 1, {grown} FROM suf m JOIN lst l ON {same('m', 'l')} AND l.k = m.k),
+val AS (SELECT {cols('a')}, a.k, list_sum(list_transform(range(1, len(a.f) + 1), lambda i: a.f[i] * list_sum(list_transform(range(1, len(b.f) + 1), lambda j: b.f[j] * 1.25::DOUBLE * (i - 1) / (0.25::DOUBLE * (i + j - 2) + a.k))))) AS v
+  FROM pre a JOIN suf b ON {same('a', 'b')} AND a.k = b.k WHERE a.k BETWEEN 1 AND {most}),
+best AS (SELECT {cols('v')}, min(v.k) AS n FROM (SELECT *, max(v) OVER (PARTITION BY {key}) AS top FROM val) v JOIN suf z ON {same('v', 'z')} AND z.k = 0 WHERE v.v >= v.top - 1e-12 AND v.top > z.f[1] + 1e-12 GROUP BY {cols('v')})"""
+
+
+ORACLES["expected_f_joint"] = recursive(_joint("scored", "s1") + " SELECT l.s1, l.cand FROM lst l JOIN best b ON l.s1 = b.s1 AND l.k <= b.n", "scored")
 _soft = "(SELECT s1, cand, p * p / sum(p) OVER (PARTITION BY cand) AS p, y FROM labelled)"
 _hard = "(SELECT s1, cand, p, y FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS rn FROM labelled) WHERE rn = 1)"
 _f = "CASE WHEN coalesce(t.n, 0) = 0 AND coalesce(q.n, 0) = 0 THEN 1.0::DOUBLE WHEN coalesce(t.n, 0) = 0 OR coalesce(q.n, 0) = 0 THEN 0.0::DOUBLE ELSE 1.25::DOUBLE * q.tp / (0.25::DOUBLE * t.n + q.n) END"
@@ -289,6 +310,32 @@ for _mode, _rows in (("none", "labelled"), ("hard", _hard), ("soft", _soft)):
     for _miss in (0.0, 0.4):
         _grid.append(f"SELECT '{_mode}', 'expected_f', {_miss}::DOUBLE, round(avg({_f}), 6) FROM s1 e {_truth} LEFT JOIN (SELECT x.s1, count(*) AS n, sum(l.y) AS tp FROM ({_expected(_rows + ' r', _miss)}) x JOIN labelled l ON x.s1 = l.s1 AND x.cand = l.cand GROUP BY x.s1) q ON e.entity_id = q.s1")
 oracle("decision_grid", " UNION ALL ".join(_grid))
+_table = []
+_cuts = "(SELECT unnest(list_transform(range(91), lambda i: round(0.05::DOUBLE + i * 0.01::DOUBLE, 2))) AS value)"
+for _mode, _rows in (("none", "labelled"), ("hard", _hard), ("soft", _soft)):
+    _table.append(f"SELECT '{_mode}' AS mode, 'threshold' AS rule, g.value, round(avg({_f}), 6) AS f05 FROM s1 e CROSS JOIN {_cuts} g {_truth} LEFT JOIN (SELECT s1, value, count(*) AS n, sum(y) AS tp FROM {_rows} r, {_cuts} WHERE p >= value GROUP BY s1, value) q ON e.entity_id = q.s1 AND g.value = q.value GROUP BY g.value")
+    for _miss in (0.0, 0.05, 0.1, 0.2, 0.4):
+        _table.append(f"SELECT '{_mode}', 'expected_f', {_miss}::DOUBLE, round(avg({_f}), 6) FROM s1 e {_truth} LEFT JOIN (SELECT x.s1, count(*) AS n, sum(l.y) AS tp FROM ({_expected(_rows + ' r', _miss)}) x JOIN labelled l ON x.s1 = l.s1 AND x.cand = l.cand GROUP BY x.s1) q ON e.entity_id = q.s1")
+oracle("tune_table", " UNION ALL ".join(_table))
+_rules = [("ef", a, b, 0.0) for a in (0.8, 1.0, 1.25) for b in (-0.5, 0.0, 0.5)] + [("thr", 1.0, 0.0, t) for t in (0.3, 0.4, 0.5, 0.6, 0.7)]
+_adj = lambda p: f"1 / (1 + exp(-(a * ln({p} / (1 - {p})) + b)))"
+_won = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS rn, nth_value(p, 2) OVER (PARTITION BY cand ORDER BY p DESC, s1 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM labelled WHERE p >= 0.001) WHERE rn = 1)"
+_values = ", ".join(f"({i}, '{m}', {a}::DOUBLE, {b}::DOUBLE, {t}::DOUBLE, {d}::DOUBLE)" for i, (m, a, b, t) in enumerate(_rules) for d in (0, 0.05, 0.1, 0.2))
+_tune = f"""rules(rule, method, a, b, t, delta) AS (VALUES {_values}),
+adjusted AS (SELECT r.*, w.s1, w.cand, w.y, {_adj('w.p')} AS p, coalesce({_adj('w.second')}, 0) AS q FROM {_won} w, rules r),
+led AS (SELECT * FROM adjusted WHERE p - q >= delta),
+{_joint("led", "rule, delta, s1")},
+counts AS (SELECT l.rule, l.delta, l.s1, count(*) AS n, sum(l.y) AS tp FROM lst l LEFT JOIN best b ON l.rule = b.rule AND l.delta = b.delta AND l.s1 = b.s1 WHERE CASE l.method WHEN 'ef' THEN l.k <= b.n ELSE l.p >= l.t END GROUP BY ALL),
+scores AS (SELECT r.rule, r.method, r.a, r.b, r.delta, r.t, round(avg({_f}), 6) AS f05 FROM rules r CROSS JOIN s1 e {_truth} LEFT JOIN counts q ON r.rule = q.rule AND r.delta = q.delta AND e.entity_id = q.s1 GROUP BY ALL)
+SELECT method, a, b, delta, t, f05 FROM scores WHERE delta = 0 OR rule = (SELECT rule FROM scores WHERE delta = 0 ORDER BY f05 DESC, rule LIMIT 1)"""
+ORACLES["tune_rules"] = recursive(_tune, "labelled, gt")
+_own = "(SELECT s1, cand, p, country FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS rn FROM rich) WHERE rn = 1)"
+oracle(
+    "redecide",
+    f"""SELECT s1, cand, country AS slice FROM {_own} WHERE (country = 'fr' AND p >= 0.6) OR (country = 'de' AND p >= 0.8)
+UNION ALL SELECT x.s1, x.cand, o.country FROM ({_expected("(SELECT * FROM " + _own + " WHERE country NOT IN ('fr', 'de'))", 0.1)}) x JOIN {_own} o ON x.s1 = o.s1 AND x.cand = o.cand""",
+)
+oracle("output_summary", "SELECT count(*) AS rows, count(*) FILTER (n > 0) AS with_matches, count(*) FILTER (n = 0) AS singletons, round(avg((n = 0)::INTEGER), 6) AS singleton_rate, round(avg(n), 6) AS mean_matches, count(*) FILTER (far > 0) AS outside FROM (SELECT e.entity_id, count(c.cand) AS n, count(c.cand) FILTER (c.rank > 2) AS far FROM s1 e LEFT JOIN cands c ON e.entity_id = c.s1 AND c.block_sim >= 0.6 GROUP BY 1)")
 oracle("macro_f05", "SELECT count(*) AS entities, round(avg(f), 6) AS f05, round(sum(tp)::DOUBLE / nullif(sum(n_pred), 0), 6) AS precision, round(sum(tp)::DOUBLE / nullif(sum(n_true), 0), 6) AS recall FROM chosen")
 oracle("entity_f05", "SELECT s1, n_true, n_pred, tp, round(f, 6) AS f FROM chosen")
 oracle("score_breakdown", "SELECT CASE WHEN n_true = 0 THEN 'singleton' ELSE 'matched' END AS kind, count(*) AS entities, round(avg(f), 6) AS f05, round(avg(n_true), 6) AS mean_true, round(avg(n_pred), 6) AS mean_pred FROM chosen GROUP BY 1")
@@ -321,6 +368,45 @@ oracle(
     f"""SELECT source AS token, latin, n FROM (SELECT source, arg_min(target, struct_pack(n := -n, s := target)) AS latin, max(n) AS n, sum(n) AS total FROM (SELECT source, target, count(*) AS n FROM (
   SELECT unnest(a) AS target, unnest(b) AS source FROM (SELECT list_filter(string_split({clean('x.name')}, ' '), lambda w: w <> '') AS a, list_filter(string_split({clean('y.name')}, ' '), lambda w: w <> '') AS b FROM cands c JOIN er x ON c.s1 = x.entity_id JOIN er y ON c.cand = y.entity_id WHERE c.rank = 1) WHERE len(a) = len(b)) GROUP BY 1, 2) GROUP BY source) WHERE n >= 2 AND n >= 0.5 * total""",
 )
+def skel(x: str) -> str:
+    """Written without look-around: a letter that a rule only looks at is put back, and rules whose matches may touch run twice."""
+    out = f"regexp_replace(lower({x}), '[^a-z ]', '', 'g')"
+    for old, new in (("\\by([aeiou])", "\\1"), ("([aeiou])gh", "\\1"), ("ction", "ksn"), ("tion", "sn"), ("ph", "f"), ("th", "t"), ("kh", "k"), ("sh", "s"), ("ch", "s"), ("ck", "k"), ("c([aoukrlt])", "k\\1"), ("c\\b", "k"), ("m([^aeiou ])", "n\\1"), ("m([^aeiou ])", "n\\1")):
+        out = f"regexp_replace({out}, '{old}', '{new}', 'g')"
+    out = f"trim(regexp_replace(translate({out}, 'gbdvzjcq', 'kptwsssk'), ' +', ' ', 'g'))"
+    out = f"regexp_replace({out}, '([a-z])[aeiouy]+', '\\1', 'g')"
+    return f"list_transform([{out}], lambda o: array_to_string(list_transform(range(1, len(o) + 1), lambda i: CASE WHEN i > 1 AND o[i] = o[i - 1] THEN '' ELSE o[i] END), ''))[1]"
+
+
+_stem = f"replace(lower(regexp_extract(trim(strip_accents(coalesce(name, ''))), '{t.DOMAIN}', 1)), '-', '')"
+_bare = f"list_filter({words(core_name('name'))}, lambda w: NOT list_contains({lit(t.TRANSLITERATED_LEGAL)}, w))"
+oracle("skeleton", f"SELECT entity_id, coalesce({skel('tl')}, '') AS skel FROM (SELECT entity_id, CASE WHEN {_stem} <> '' THEN {_stem} ELSE {joined(_bare)} END AS tl FROM er)")
+# The Devanagari letters that stand for a to z in the queries, and how they sound.
+_letters = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमय", "ka kha ga gha na cha cha ja jha na ta tha da dha na ta tha da dha na pa pha ba bha ma ya".split(), strict=True))
+_sound = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in _letters.items()) + "}"
+CTES["native"] = f"SELECT entity_id AS id, src, {clean('addr')} AS addr, list_filter(string_split(CASE WHEN src = 3 THEN translate({clean('name')}, 'abcdefghijklmnopqrstuvwxyz', '{''.join(_letters)}') ELSE {clean('name')} END, ' '), lambda w: w <> '') AS ws FROM er"
+_is_native = lambda w: f"regexp_matches({w}, '[\\x{{900}}-\\x{{D7F}}]')"
+CTES["ndict"] = f"""SELECT token, arg_min(target, struct_pack(n := -n, s := target)) AS latin FROM (SELECT token, target, count(*) AS n FROM (
+  SELECT unnest(y.ws) AS token, unnest(x.ws) AS target FROM cands c JOIN native x ON c.s1 = x.id JOIN native y ON c.cand = y.id WHERE c.rank = 1 AND y.src = 3 AND len(x.ws) = len(y.ws) AND c.s1[-1] IN ('0', '2', '4', '6', '8')) GROUP BY ALL) WHERE {_is_native('token')} GROUP BY token"""
+CTES["nsnap"] = f"SELECT skel, arg_min(word, struct_pack(k := -k, w := word)) AS word FROM (SELECT latin AS word, count(*) AS k, {skel('latin')} AS skel FROM ndict GROUP BY latin) GROUP BY skel"
+CTES["nvoc"] = f"""SELECT v.word, coalesce(d.latin, s.word, v.spelled) AS latin, d.latin IS NULL AS unknown FROM (SELECT *, {skel('spelled')} AS sk FROM (
+  SELECT word, replace(word, '_', '') AS token, array_to_string(list_transform(range(1, len(word) + 1), lambda i: coalesce({_sound}[word[i]], CASE WHEN regexp_matches(word[i], '[a-z0-9]') THEN word[i] ELSE '' END)), '') AS spelled FROM (
+    SELECT DISTINCT unnest(ws) AS word FROM native WHERE src = 3) WHERE {_is_native('word')})) v LEFT JOIN ndict d ON v.token = d.token LEFT JOIN nsnap s ON v.sk = s.skel"""
+_spelt = "list_transform(range(1, len(ws) + 1), lambda i: struct_pack(i := i, w := ws[i]))"
+oracle("transliterate_names", f"""SELECT id, coalesce(latin, '') AS latin, n_native, n_unknown, coalesce({skel("coalesce(latin, '')")}, '') AS skel FROM (
+  SELECT n.id, string_agg(coalesce(v.latin, n.w.w), ' ' ORDER BY n.w.i) AS latin, count(v.word) AS n_native, count(*) FILTER (v.unknown) AS n_unknown FROM (SELECT id, unnest({_spelt}) AS w FROM native WHERE src = 3) n LEFT JOIN nvoc v ON n.w.w = v.word GROUP BY n.id
+  UNION ALL SELECT id, '', 0, 0 FROM native WHERE src = 3 AND len(ws) = 0)""")
+CTES["nstate"] = f"""SELECT component, arg_min(state, struct_pack(n := -n, s := state)) AS state FROM (SELECT component, state, count(*) AS n, sum(count(*)) OVER (PARTITION BY component) AS total FROM (
+  SELECT unnest(y.ws) AS component, x.ws[-1] AS state FROM cands c JOIN native x ON c.s1 = x.id JOIN native y ON c.cand = y.id WHERE c.rank = 1 AND y.src = 3 AND len(x.ws) > 0) WHERE {_is_native('component')} GROUP BY 1, 2) GROUP BY component HAVING max(n) >= 0.5 * max(total)"""
+oracle("component_states", "SELECT component, state FROM nstate")
+_parts = "list_transform(range(1, len(ps) + 1), lambda i: struct_pack(i := i, w := ps[i]))"
+oracle("transliterate_addresses", f"""SELECT n.id, string_agg(coalesce(s.state, v.latin, n.w.w), ', ' ORDER BY n.w.i) AS latin FROM (SELECT id, unnest({_parts}) AS w FROM (SELECT id, list_concat(CASE WHEN len(ws) > 0 THEN ws ELSE [''] END, [addr]) AS ps FROM native WHERE src = 3)) n
+  LEFT JOIN nstate s ON n.w.w = s.component LEFT JOIN nvoc v ON n.w.w = v.word GROUP BY n.id""")
+CTES["french"] = f"SELECT o.*, o.p > 0.7 AND o.claim_rank = 1 AND o.p - o.best_other > 0.05 AND a.core_name[1] = b.core_name[1] AND a.core_name <> '' AS accepted FROM others o JOIN rec a ON o.s1 = a.entity_id JOIN rec b ON o.cand = b.entity_id WHERE a.country = 'fr'"
+_drawn = lambda kind, label, test, n: f"(SELECT s1, cand, '{kind}' AS kind, {label}::DOUBLE AS label FROM french f WHERE {test} ORDER BY md5(s1 || '|' || cand), s1, cand LIMIT {n})"
+oracle("slice_pseudo_labels", " UNION ALL ".join((_drawn("positive", 1, "accepted", 40), _drawn("plausible", 0, "p < 0.2 AND block_sim >= 0.3", 30), _drawn("implausible", 0, "p < 0.2 AND block_sim < 0.3", 20), _drawn("twin", 0, "p >= 0.2 AND p < 0.6 AND s1 IN (SELECT s1 FROM french WHERE accepted)", 50))))
+oracle("gather_records", "SELECT c.s1, c.cand, r.name, r.addr FROM cands c JOIN er r ON c.cand = r.entity_id")
+oracle("pack_pairs", "SELECT c.s1 AS a, c.cand AS b, c.rank, x.name || ' ' || x.addr AS text_a, y.name || ' ' || y.addr AS text_b FROM cands c JOIN er x ON c.s1 = x.entity_id JOIN er y ON c.cand = y.entity_id")
 oracle("word_costs", "SELECT word, round(-ln(n::DOUBLE / total), 6) AS cost FROM (SELECT word, count(*) AS n, sum(count(*)) OVER () AS total FROM (SELECT unnest(toks) AS word FROM runs WHERE src = 1) WHERE regexp_matches(word, '^\\p{L}+$') GROUP BY word) WHERE (n >= 2 AND length(word) >= 2) OR word = 'a'")
 _leet = "CASE WHEN regexp_matches(w, '^\\d+(st|nd|rd|th)$') OR regexp_matches(w, '^\\p{Nd}+$') OR regexp_matches(w, '^\\p{L}+$') THEN w ELSE translate(w, '01568', 'olsgb') END"
 _canon = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in t.SUFFIX_CANON.items()) + "}"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import similarity, text
-from kinloom.operators import addresses, context, decision, diagnostics, features, learned, retrieval, sampling
+from kinloom.operators import addresses, context, decision, diagnostics, features, learned, retrieval, sampling, transliteration
 from kinloom.oracles import ORACLES  # noqa: F401
 from kinloom.sources import records
 
@@ -450,6 +450,30 @@ def pseudo_labels(spark, sf):
     return context.pseudo_labels(scored(spark, sf).select("s1", "cand", "p"), high=0.9, low=0.2, margin=0.2, share=0.25)
 
 
+@query
+def slice_pseudo_labels(spark, sf):
+    rows = er(spark, sf)
+    house = lambda key: rows.select(F.col("entity_id").alias(key), F.left(text.core_name(F.col("name")), F.lit(1)).alias("house1" if key == "s1" else "house2"), "country")
+    pairs = scored(spark, sf).select("s1", "cand", F.col("block_sim").alias("p1"), "p").join(house("s1").where("country = 'fr'").drop("country"), "s1").join(house("cand").drop("country"), "cand")
+    return context.slice_pseudo_labels(pairs, 0.7, 0.2, 0.05, 0.6, 0.3, (40, 30, 20, 50))
+
+
+@query
+def gather_records(spark, sf):
+    rows = er(spark, sf).select(F.col("entity_id").alias("cand"), "name", "addr")
+    return records.gather(candidates(spark, sf).select("s1", "cand"), rows, "cand")
+
+
+@query
+def pack_pairs(spark, sf):
+    """Texts once and pairs of ids, put together again."""
+    rows = as_texts(er(spark, sf))
+    side = lambda c: rows.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    found = candidates(spark, sf).select(F.col("s1").alias("a"), F.col("cand").alias("b"), "rank")
+    texts, links = records.pack_pairs(found.join(side("a"), "a").join(side("b"), "b"))
+    return records.unpack_pairs(texts, links).select("a", "b", "rank", "text_a", "text_b")
+
+
 @query
 def hard_negatives(spark, sf):
     return context.hard_negatives(sampling.label(scored(spark, sf).select("s1", "cand", "p"), records.er_truth(er(spark, sf))))
@@ -520,6 +544,33 @@ def decision_grid(spark, sf):
     return decision.decision_grid(scored(spark, sf).select("s1", "cand", "p"), records.er_truth(rows), entities(rows), ("none", "hard", "soft"), (0.25, 0.5, 0.75, 0.9), (0.0, 0.4))
 
 
+@query
+def tune_table(spark, sf):
+    """The reference's whole table: three ways to assign, 91 thresholds and 5 expectations of missed links each."""
+    rows = er(spark, sf)
+    thresholds = tuple(round(0.05 + 0.01 * i, 2) for i in range(91))
+    return decision.decision_grid(scored(spark, sf).select("s1", "cand", "p"), records.er_truth(rows), entities(rows), ("none", "hard", "soft"), thresholds, (0.0, 0.05, 0.1, 0.2, 0.4))
+
+
+@query
+def tune_rules(spark, sf):
+    rows = er(spark, sf)
+    return decision.tune_rules(scored(spark, sf).select("s1", "cand", "p"), records.er_truth(rows), entities(rows), (0.8, 1.0, 1.25), (-0.5, 0.0, 0.5), (0.3, 0.4, 0.5, 0.6, 0.7), (0.05, 0.1, 0.2))
+
+
+@query
+def redecide(spark, sf):
+    pairs = with_record(scored(spark, sf), er(spark, sf)).select("s1", "cand", "p", F.col("country").alias("slice"))
+    return decision.redecide(pairs, ("hard:expected_f:0.1", "fr=hard:threshold:0.6", "de=hard:threshold:0.8"))
+
+
+@query
+def output_summary(spark, sf):
+    rows, found = er(spark, sf), candidates(spark, sf)
+    lists = records.id_lists(s1_of(rows), found.where("block_sim >= 0.6"), "ids").select(F.col("source1_entity_id").alias("s1"), "ids")
+    return decision.output_summary(lists, found.where("rank <= 2"))
+
+
 def chosen(spark, sf):
     rows = er(spark, sf)
     return decision.entity_scores(entities(rows), records.er_truth(rows), candidates(spark, sf).where("block_sim >= 0.6"))
@@ -705,6 +756,51 @@ def token_dictionary(spark, sf):
     return learned.token_dictionary(pairs)
 
 
+DEVANAGARI = "कखगघङचछजझञटठडढणतथदधनपफबभमय"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """(id, src, words, addr): records of source 3 spell their names in Devanagari, one letter for each of a to z."""
+    own = text.clean(F.col("name"))
+    return rows.select(F.col("entity_id").alias("id"), "src", text.tokens(F.when(F.col("src") == 3, F.translate(own, "abcdefghijklmnopqrstuvwxyz", DEVANAGARI)).otherwise(own)).alias("words"), text.clean(F.col("addr")).alias("addr"))
+
+
+def native_dictionary(spark, sf) -> DataFrame:
+    """Learned from the first candidates whose entity id ends in an even digit; the others play the unseen fold."""
+    rows = written(er(spark, sf))
+    side = lambda src, a, b: rows.where(src).select(F.col("id").alias(a), F.col("words").alias(b))
+    pairs = candidates(spark, sf).where((F.col("rank") == 1) & F.right("s1", F.lit(1)).isin(*"02468")).join(side("src = 1", "s1", "target"), "s1").join(side("src = 3", "cand", "source"), "cand")
+    return learned.token_dictionary(pairs, 1, 0.0).where(F.col("token").rlike(transliteration.NATIVE))
+
+
+@query
+def transliterate_names(spark, sf):
+    own = written(er(spark, sf)).where("src = 3").select("id", F.array_join("words", " ").alias("text"))
+    out = transliteration.transliterate(own, native_dictionary(spark, sf))
+    return out.withColumn("skel", text.skeleton(F.col("latin")))
+
+
+def state_pairs(spark, sf) -> DataFrame:
+    rows = written(er(spark, sf))
+    s1 = rows.where("src = 1").select(F.col("id").alias("s1"), F.element_at("words", -1).alias("state"))
+    return candidates(spark, sf).where("rank = 1").join(s1.where("state is not null"), "s1").join(components(rows).select(F.col("id").alias("cand"), F.col("text").alias("address")), "cand")
+
+
+def components(rows: DataFrame) -> DataFrame:
+    return rows.where("src = 3").select("id", F.concat(F.array_join("words", ","), F.lit(","), "addr").alias("text"))
+
+
+@query
+def component_states(spark, sf):
+    return transliteration.component_states(state_pairs(spark, sf))
+
+
+@query
+def transliterate_addresses(spark, sf):
+    states = transliteration.component_states(state_pairs(spark, sf))
+    return transliteration.transliterate_addresses(components(written(er(spark, sf))), states, native_dictionary(spark, sf))
+
+
 @query
 def word_costs(spark, sf):
     rows = s1_of(er(spark, sf)).select(F.explode(text.name_tokens(F.col("name"))).alias("word"))

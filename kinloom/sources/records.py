@@ -53,6 +53,24 @@ def id_lists(entities: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     return own.join(lists, "s1", "left").select(F.col("s1").alias("source1_entity_id"), F.coalesce(name, F.lit("")).alias(name))
 
 
+def gather(pairs: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """pairs with the columns of the record that ``key`` names (records has a unique column of that name). A pair whose record is missing ends the job instead of vanishing."""
+    found = pairs.join(records.withColumn("__found", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no record for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return found.withColumn(key, F.when(F.col("__found"), F.col(key)).otherwise(missing)).drop("__found")
+
+
+def pack_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, links): every text once as (id, text), and the pairs without texts. pairs is (a, b, text_a, text_b, ...); an id has one text, of several the smallest."""
+    both = pairs.select(F.col("a").alias("id"), F.col("text_a").alias("text")).unionByName(pairs.select(F.col("b").alias("id"), F.col("text_b").alias("text")))
+    return both.groupBy("id").agg(F.min("text").alias("text")), pairs.drop("text_a", "text_b")
+
+
+def unpack_pairs(texts: DataFrame, links: DataFrame) -> DataFrame:
+    side = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
+    return links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+
+
 def write_lists(lists: DataFrame, path: str) -> None:
     """Tab-separated, without quotes, sorted by entity."""
     lists.orderBy("source1_entity_id").write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
@@ -89,6 +107,22 @@ def validate_lists(matches: DataFrame, candidates: DataFrame | None, entities: D
     return out
 
 
+def validate_lines(spark: SparkSession, path: str, header: tuple[str, ...] = ("source1_entity_id", "matched_entity_ids")) -> DataFrame:
+    """(rule, n) of a file before it is parsed: empty_file, comma_file (a header with commas and no tab), bad_header, malformed_row (text, but no tab).
+
+    A file with a wrong header is not read further, so its rows count no violations.
+    """
+    lines = spark.read.text(path)
+    first = lines.head(1)
+    top = first[0].value if first else ""
+    names = tuple(c.strip().lower() for c in top.split("\t"))
+    comma = "\t" not in top and "," in top
+    bad = bool(first) and not comma and names != header
+    rows = lines.where(F.trim(F.split("value", "\t")[0]) != "").where(~F.col("value").contains("\t")) if first and not comma and not bad else lines.limit(0)
+    flags = spark.createDataFrame([("empty_file", int(not first)), ("comma_file", int(comma)), ("bad_header", int(bad))], "rule string, n long")
+    return flags.unionByName(rows.agg(F.lit("malformed_row").alias("rule"), F.count(F.lit(1)).alias("n")))
+
+
 # ---- the driver's documents as records --------------------------------------------------------------------------
 
 
