@@ -417,6 +417,31 @@ oracle(
   SELECT *, CASE WHEN len(core) > 0 THEN core WHEN len(bare) > 0 THEN bare ELSE whole END AS kept FROM (SELECT *, list_filter(bare, lambda w: NOT list_contains({_forms}, w)) AS core FROM (SELECT *, list_filter(whole, lambda w: NOT list_contains({lit(t.NAME_STOPWORDS)}, w)) AS bare FROM (
     SELECT entity_id, list_transform(list_transform(toks, lambda w: {_leet}), lambda w: coalesce({_canon}[w], w)) AS whole FROM runs))))""",
 )
+CTES["nv0"] = """SELECT entity_id AS id, trim(regexp_replace(regexp_replace(trim(x), '^[^\\p{L}\\p{N}]+', ''), '(?i)^\\s*m/s\\.?\\s+', '')) AS txt FROM (
+  SELECT entity_id, CASE WHEN src = 1 THEN '* M/s. ' || name WHEN src = 2 AND country = 'fr' THEN word || '-online.com' WHEN src = 2 THEN word || ' Ltd d.b.a. ' || translate(name, 'ol', '01') ELSE name || ' | https://www.' || word || '-shop.com/x' END AS x
+  FROM (SELECT *, string_split_regex(lower(name), '[^a-z]+')[1] AS word FROM er))"""
+CTES["nv1"] = """SELECT id, txt, latin, list_concat([latin], CASE WHEN len(parts) > 1 THEN parts ELSE [] END, CASE WHEN site <> '' THEN [site || '.com'] ELSE [] END) AS texts, len(parts) > 1 AS aliased FROM (
+  SELECT *, list_filter(string_split_regex(latin, '(?i)\\s+(?:d\\.?\\s?b\\.?\\s?a\\.?|a\\.?k\\.?a\\.?|t/a|trading\\s+as)\\s+'), lambda w: trim(w) <> '') AS parts FROM (
+    SELECT id, txt, regexp_extract(txt, site, 1) AS site, regexp_replace(txt, site, '') AS latin FROM (SELECT *, '(?i)\\s*\\|\\s*(?:https?://)?(?:www\\.)?([a-z0-9\\-]+)\\.[a-z]{2,4}\\S*\\s*$' AS site FROM nv0)))"""
+_letters_joined = "list_transform(list_filter(string_split(regexp_replace(regexp_replace(' ' || coalesce(array_to_string(ps, '  '), '') || ' ', ' (\\p{L}) ', ' \x01\\1\x01 ', 'g'), '\x01  \x01', '', 'g'), ' '), lambda w: w <> ''), lambda w: replace(w, chr(1), ''))"
+CTES["nv2"] = f"""SELECT *, {_letters_joined} AS toks FROM (
+  SELECT id, i, part, replace(regexp_extract(replace(trim(lower(strip_accents(part))), ' ', ''), '^(?:www\\.)?([a-z0-9\\-]+)\\.com$', 1), '-', '') AS stem,
+    list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(strip_accents(part)), '&', ' and '), '+', ' and '), '[''’`´]', '', 'g'), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS ps
+  FROM (SELECT id, i, texts[i] AS part FROM (SELECT id, texts, unnest(range(1, len(texts) + 1)) AS i FROM nv1)))"""
+_kept = lambda xs, stop: f"list_filter({xs}, lambda w: NOT list_contains({stop}, w))"
+_first_full = lambda *xs: "CASE " + " ".join(f"WHEN len({x}) > 0 THEN {x}" for x in xs[:-1]) + f" ELSE {xs[-1]} END"
+_stops = lit(t.NAME_STOPWORDS)
+CTES["nv3"] = f"""SELECT id, i, whole, core, domain, variant, CASE WHEN NOT domain AND second <> variant THEN second END AS second FROM (
+  SELECT *, {joined('core')} AS variant, {joined(_first_full('plain', 'raw'))} AS second FROM (SELECT *, {_first_full(_kept('bare', _forms), 'bare', 'whole')} AS core, {_kept(_kept('raw', _stops), _forms)} AS plain FROM (
+    SELECT *, {_kept('whole', _stops)} AS bare FROM (SELECT id, i, stem <> '' AS domain, list_transform(CASE WHEN stem <> '' THEN list_transform([stem], lambda w: {_leet}) ELSE list_transform(toks, lambda w: {_leet}) END, lambda w: coalesce({_canon}[w], w)) AS whole,
+      list_transform(toks, lambda w: coalesce({_canon}[w], w)) AS raw FROM nv2))))"""
+_in_order = "SELECT id, w, min(pos) AS pos FROM (SELECT id, i * 2 AS pos, variant AS w FROM nv3 UNION ALL SELECT id, i * 2 + 1, second FROM nv3) WHERE w <> '' GROUP BY id, w"
+oracle(
+    "name_variants",
+    f"""SELECT f.id, f.variant AS core, {joined('f.whole')} AS "full", {joined('list_sort(list_distinct(f.core))')} AS key, coalesce(array_to_string(f.core, ''), '') AS squeezed, {joined(f'list_sort(list_distinct(list_filter(f.whole, lambda w: list_contains({_forms}, w))))')} AS legal,
+  coalesce(a.alt, '') AS alt, (CASE WHEN f.domain THEN 1 ELSE 0 END + CASE WHEN n.aliased THEN 2 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM nv3 s WHERE s.id = f.id AND s.second IS NOT NULL) THEN 4 ELSE 0 END)::INTEGER AS flags, 0.0::DOUBLE AS oov, len(f.core)::INTEGER AS n_core, lower(strip_accents(n.txt)) AS shown
+FROM nv3 f JOIN nv1 n ON f.id = n.id LEFT JOIN (SELECT o.id, string_agg(o.w, '|' ORDER BY o.pos) AS alt FROM ({_in_order}) o JOIN nv3 m ON o.id = m.id AND m.i = 1 WHERE o.w <> m.variant GROUP BY o.id) a ON f.id = a.id WHERE f.i = 1""",
+)
 CTES["lists"] = """SELECT e.entity_id AS s1, coalesce(string_agg(c.cand, ',' ORDER BY c.cand), '') AS list FROM s1 e LEFT JOIN cands c ON e.entity_id = c.s1 AND c.rank <= 2 GROUP BY 1
   UNION ALL VALUES ('S1-x', 'S2-1,S2-1'), ('S1-x', 'S1-9'), ('S1-y', 'Q-1'), ('', 'S2-00000002')"""
 CTES["cells"] = "SELECT * FROM (SELECT s1, unnest(string_split(list, ',')) AS cand FROM lists) WHERE cand <> ''"

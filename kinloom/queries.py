@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import similarity, text
-from kinloom.operators import addresses, context, decision, diagnostics, features, learned, retrieval, sampling, transliteration
+from kinloom.operators import addresses, context, decision, diagnostics, features, learned, names, retrieval, sampling, transliteration
 from kinloom.oracles import ORACLES  # noqa: F401
 from kinloom.sources import records
 
@@ -161,6 +161,20 @@ def canonical_names(spark, sf):
     return er(spark, sf).select("entity_id", text.canonical_name(F.col("name")).alias("n")).select("entity_id", "n.*")
 
 
+@query
+def name_variants(spark, sf):
+    """Names dressed by source: a title in front, an alias with digits for letters, a website behind; French ones of source 2 are domains."""
+    first = F.element_at(F.split(F.lower("name"), "[^a-z]+"), 1)
+    dressed = (
+        F.when(F.col("src") == 1, F.concat(F.lit("* M/s. "), "name"))
+        .when((F.col("src") == 2) & (F.col("country") == "fr"), F.concat(first, F.lit("-online.com")))
+        .when(F.col("src") == 2, F.concat(first, F.lit(" Ltd d.b.a. "), F.translate("name", "ol", "01")))
+        .otherwise(F.concat("name", F.lit(" | https://www."), first, F.lit("-shop.com/x")))
+    )
+    own = er(spark, sf).select(F.col("entity_id").alias("id"), dressed.alias("name"))
+    return names.name_variants(own, spark.createDataFrame([], "token string, latin string, n long"))
+
+
 @query
 def collapse_letters(spark, sf):
     return er(spark, sf).select("entity_id", F.array_join(text.name_tokens(F.col("name")), " ").alias("words"))
