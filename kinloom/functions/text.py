@@ -231,15 +231,25 @@ def name_tokens(name: Column) -> Column:
     return collapse_letters(tokens(F.trim(F.regexp_replace(out, r"\s+", " "))))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often ``use`` refers to it: Catalyst repeats a plain subexpression inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def canonical_name(name: Column) -> Column:
     """struct(full, core, key, legal): canonical words; those that are neither legal forms nor stop words; these sorted and distinct; the legal forms."""
     canon = F.create_map(*[F.lit(x) for kv in SUFFIX_CANON.items() for x in kv])
     legal = tuple(dict.fromkeys(SUFFIX_CANON.values()))
-    full = F.transform(F.transform(name_tokens(name), leet), lambda t: F.coalesce(F.try_element_at(canon, t), t))
-    bare = F.filter(full, lambda t: ~t.isin(*NAME_STOPWORDS))
-    core = F.filter(bare, lambda t: ~t.isin(*legal))
-    core = F.when(F.size(core) > 0, core).when(F.size(bare) > 0, bare).otherwise(full)
-    forms = F.array_sort(F.array_distinct(F.filter(full, lambda t: t.isin(*legal))))
-    return F.struct(
-        F.array_join(full, " ").alias("full"), F.array_join(core, " ").alias("core"), F.array_join(F.array_sort(F.array_distinct(core)), " ").alias("key"), F.array_join(forms, " ").alias("legal")
-    )
+
+    def forms(full: Column, core: Column) -> Column:
+        own = F.array_sort(F.array_distinct(F.filter(full, lambda t: t.isin(*legal))))
+        return F.struct(
+            F.array_join(full, " ").alias("full"), F.array_join(core, " ").alias("core"), F.array_join(F.array_sort(F.array_distinct(core)), " ").alias("key"), F.array_join(own, " ").alias("legal")
+        )
+
+    def chosen(full: Column, bare: Column) -> Column:
+        core = F.filter(bare, lambda t: ~t.isin(*legal))
+        return bind(core, lambda c: bind(F.when(F.size(c) > 0, c).when(F.size(bare) > 0, bare).otherwise(full), lambda kept: forms(full, kept)))
+
+    words_of = F.transform(F.transform(name_tokens(name), leet), lambda t: F.coalesce(F.try_element_at(canon, t), t))
+    return bind(words_of, lambda full: bind(F.filter(full, lambda t: ~t.isin(*NAME_STOPWORDS)), lambda bare: chosen(full, bare)))
