@@ -17,7 +17,7 @@ from kinloom.operators import retrieval
 def link_batch(batch: DataFrame, s1_weights: DataFrame, idf: DataFrame, k: int = 3) -> DataFrame:
     """(cand, s1, sim, rank) for a batch of records (id, part, text)."""
     counts = retrieval.token_counts(batch, retrieval.word_tokens(F.col("text")))
-    found = retrieval.top_pairs(retrieval.cosine_pairs(retrieval.tfidf_weights(counts, idf), s1_weights), k)
+    found = retrieval.cosine_top_k(retrieval.tfidf_weights(counts, idf), s1_weights, k)
     return found.select(F.col("q").alias("cand"), F.col("c").alias("s1"), "sim", "rank")
 
 
