@@ -5,8 +5,8 @@ words in capitals, with runs of signs, with digits, repeated at once, distinct w
 feature; ordered thresholds cut the score into grades: P(grade >= j) = sigmoid(score - threshold_j). The fit minimises the negative log
 likelihood with an L1 penalty (proximal gradient with momentum), so words that tell nothing weigh exactly nothing and long texts gather no noise.
 
-The fit takes at most ``sample_rows`` labelled documents, those with the smallest hashes of their ids; that sample and the weights
-(2 ** bits numbers) are all that reaches the driver. Every document is scored, on its whole text.
+The fit takes at most ``sample_rows`` labelled documents, those with the smallest hashes of their ids. Features that the fit would set aside are counted out
+before the sample is collected; what is left of it and the weights (2 ** bits numbers) are all that reaches the driver. Every document is scored, on its whole text.
 
 Defined results: null and empty texts are scored by their shape features alone; labels that are null or lack a document are not used; a
 document with several labels is used with each, and a labelled doc_id of several rows with one of its texts (the least hash); without usable labels every grade is null, and every document is kept; repeated rows
@@ -27,7 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.llm.common import stored
+
 BITS = 20
+LEAST_DOCS, LEAST_Z = 4, 3.5
+PIECE = 1 << 18
 BEGINNINGS = (4, 5, 6, 7)
 CACHE_WORDS = 300_000
 
@@ -93,7 +97,22 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - scores[:, None], -40, 40)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 1e-4, steps: int = 1000, least_docs: int = 4, least_z: float = 3.5) -> Ordinal:
+def _sums(places: np.ndarray, sizes: np.ndarray):
+    """A function of values: the sum of the values at each group's places, groups one after another, some PIECE places at a time."""
+    ends = np.cumsum(sizes)
+    cuts = np.unique([0, *np.searchsorted(ends, np.arange(PIECE, ends[-1] if len(ends) else 0, PIECE)), len(sizes)])
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(sizes))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            owner = np.repeat(np.arange(b - a), sizes[a:b])
+            out[a:b] = np.bincount(owner, values[places[ends[a] - sizes[a] : ends[b - 1]]], b - a)
+        return out
+
+    return sums
+
+
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 1e-4, steps: int = 1000, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z) -> Ordinal:
     """Fits by accelerated proximal gradient, over the features whose documents' mean grade differs from that of all by ``least_z`` standard errors."""
     size, n = 1 << BITS, len(rows)
     off = grades - grades.mean()
@@ -106,9 +125,12 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: f
     good = (seen >= least_docs) & (np.abs(z) >= least_z)
     if not good.any():
         good = seen == seen.max()
-    number, used, seen = np.cumsum(good) - 1, np.flatnonzero(good), seen[good]
-    held = [number[r[good[r]]] for r in rows]
-    flat, owner = np.concatenate(held), np.repeat(np.arange(n), [len(r) for r in held])
+    number, used, seen = (np.cumsum(good) - 1).astype(np.int32), np.flatnonzero(good), seen[good]
+    flat = np.concatenate([number[r[good[r]]] for r in rows])
+    sizes = np.array([np.count_nonzero(good[r]) for r in rows])
+    del number, lean, z, good
+    docs = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(flat, kind="stable")]
+    by_doc, by_feature = _sums(flat, sizes), _sums(docs, np.bincount(flat, minlength=len(used)))
     scale = 1 / np.sqrt(np.maximum(seen, 1) / n + 0.01)  # rare features take longer steps
     scale = np.minimum(scale, 5.0)
     share = np.array([np.mean(grades >= j) for j in range(1, n_grades)])
@@ -117,19 +139,19 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: f
     w, look, momentum = np.zeros(len(used)), np.zeros(len(used)), 1.0
     power = np.ones(len(used))  # largest eigenvalue of the scaled Gram matrix, by a few power steps
     for _ in range(12):
-        power = scale * np.bincount(flat, weights=np.bincount(owner, weights=(scale * power)[flat], minlength=n)[owner], minlength=len(used))
+        power = scale * by_feature(by_doc(scale * power))
         norm = np.linalg.norm(power)
         power /= norm
     step = 1 / (0.5 * norm / n + 1e-9)
     for _ in range(steps):
-        score = np.bincount(owner, weights=(scale * look)[flat], minlength=n)
+        score = by_doc(scale * look)
         tail = 1 / (1 + np.exp(np.clip(cuts[None] - score[:, None], -40, 40)))
         full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
         at = np.arange(n)
         upper, lower = full[at, grades], full[at, grades + 1]
         slope = 1 - upper - lower
         p = np.maximum(upper - lower, 1e-9)
-        grad = -scale * np.bincount(flat, weights=slope[owner], minlength=len(used)) / n
+        grad = -scale * by_feature(slope) / n
         moved = look - step * grad
         new = np.sign(moved) * np.maximum(np.abs(moved) - step * l1 * scale, 0)
         for j in range(n_grades - 1):
@@ -159,14 +181,36 @@ def train(documents: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_ro
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            found = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.binary())], names=["doc_id", "grade", "found"])
+            found = [features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "grade", "found"])
 
     joined = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "grade", "t.text")  # a repeated id counts once
-    rows = sorted((r.doc_id, r.grade, bytes(r.found)) for r in joined.mapInArrow(run, "doc_id long, grade int, found binary").collect())
-    if not rows:
+    found = stored(joined.mapInArrow(run, "doc_id long, grade int, found array<int>"), "features")
+    rows = telling(found).sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    if not rows.num_rows:
         return None
-    return fit_ordinal([np.frombuffer(f, np.int32) for _, _, f in rows], np.array([g for _, g, _ in rows]), n_grades, l1)
+    flat, ends = rows["found"].combine_chunks().flatten().to_numpy(), np.cumsum(pc.list_value_length(rows["found"]).to_numpy())
+    return fit_ordinal(np.split(flat, ends[:-1]), rows["grade"].to_numpy(), n_grades, l1)
+
+
+def telling(found: DataFrame) -> pa.Table:
+    """The rows (doc_id, grade, found), collected, with the features that ``fit_ordinal`` may use; it makes the same choice of them as of all."""
+    total = found.agg(F.avg("grade").alias("mean"), F.var_pop("grade").alias("var")).first()
+    slots = found.select(F.explode("found").alias("slot"), "grade").groupBy("slot").agg(F.count(F.lit(1)).alias("seen"), F.sum("grade").alias("sum"))
+    z = (F.col("sum") - F.col("seen") * F.lit(total["mean"])) / F.sqrt(F.col("seen") * F.lit(max(total["var"] or 0.0, 1e-9)))
+    most = slots.agg(F.max("seen")).first()[0]
+    chosen = slots.where(((F.col("seen") >= LEAST_DOCS) & (F.abs(z) >= LEAST_Z - 1e-6)) | (F.col("seen") == F.lit(most))).select("slot").toArrow()["slot"].to_numpy()
+    used = np.zeros(1 << BITS, bool)
+    used[chosen] = True
+    bits = np.packbits(used)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = np.unpackbits(bits).astype(bool)
+        for batch in batches:
+            kept = [x[used[x]] for x in (r.values.to_numpy() for r in batch.column("found"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(kept, pa.list_(pa.int32()))], names=["doc_id", "grade", "found"])
+
+    return found.mapInArrow(run, found.schema).toArrow()
 
 
 def _scores(model: Ordinal, features: Features, texts: list) -> np.ndarray:
