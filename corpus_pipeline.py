@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import line_dedup, mixing, near_duplicates, packing, quality
+from kinloom.llm import line_dedup, mixing, near_duplicates, packing, quality, simhash
 from kinloom.llm.common import stored, table
 from kinloom.llm.queries import tokenizer_files
 
@@ -29,8 +29,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more) stays: the one with the smallest doc_id, once. Rows without an id stay."""
-    groups = near_duplicates.near_duplicate_components(docs, words=5, threshold=0.8)
+    """One document of each group of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more) stays: the one with the smallest doc_id, once. Rows without an id stay.
+
+    SimHash groups come first, by the Gray-order index; their links are checked exactly, and bands of minimum hashes find the links that no fingerprint of few differing bits shows.
+    """
+    alike = simhash.simhash_components(docs, words=5, size=1, distance=4)
+    groups = near_duplicates.near_duplicate_components(docs, words=5, threshold=0.8, proposed=alike)
     heads = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(heads, "doc_id", "left_semi").select(docs.columns)
     if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is not null and n > 1").isEmpty():

@@ -3,7 +3,8 @@
 A text is cut into shingles as in simhash.py. Two texts are linked if the Jaccard similarity of their sets of distinct shingles (as 64-bit
 hashes) is at least ``threshold``, and linked texts form components. Minimum hashes only propose pairs: a signature of BANDS * ROWS minima is
 cut into bands, and texts that share a band are compared. A pair of similarity s shares none with probability (1 - s**ROWS)**BANDS: 4e-8 at
-0.8, while texts that share a passage are rarely compared. SimHash can't propose here: a pair at 0.8 may differ in 40 of 128 bits, which no index of bits serves.
+0.8, while texts that share a passage are rarely compared. Groups found by another operator (SimHash) can be given as ``proposed``: each of a group's texts is compared with the group's
+smallest, and the bands find what is left, as a pair at 0.8 may differ in 40 of 128 bits of SimHash, which no index of bits serves.
 
 Only distinct sets are compared, so copies cost nothing however many there are. A first round compares each text with the smallest id of each
 of its bands; the second compares what shares a band and is not yet in one component. A band of up to FEW such texts gives its pairs; a larger one
@@ -148,8 +149,16 @@ def _crowded(apart: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     return stored(rows.groupBy("key", "low", "high").applyInPandas(run, "a long, b long"), "crowded")
 
 
-def near_duplicate_components(documents: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): component_id is the smallest doc_id reachable by links."""
+def _proposed(proposed: DataFrame, rows: DataFrame, size) -> DataFrame:
+    """Pairs (a, b): the set of each group's head, the document that the group is named by, and each other set of the group."""
+    groups = proposed.where("doc_id is not null and component_id is not null").select("doc_id", "component_id").distinct()
+    sets = stored(rows.join(groups, "doc_id").select("doc_id", "component_id", "id", "n").distinct(), "proposed")
+    heads = sets.where("doc_id = component_id").select("component_id", F.col("id").alias("a"), F.col("n").alias("a_n"))
+    return sets.join(heads, "component_id").where((F.col("id") != F.col("a")) & size(F.col("n"), F.col("a_n"))).select("a", F.col("id").alias("b"))
+
+
+def near_duplicate_components(documents: DataFrame, words: int = 5, threshold: float = 0.8, proposed: DataFrame | None = None) -> DataFrame:
+    """(doc_id, component_id): component_id is the smallest doc_id reachable by links. ``proposed`` (doc_id, component_id) names groups whose links are looked for first."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("form"), "text")
     rows = stored(_described(documents, words), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "form")).alias("first")
@@ -160,7 +169,10 @@ def near_duplicate_components(documents: DataFrame, words: int = 5, threshold: f
     shared = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stored(shared.select("key", F.col("c.id").alias("a"), F.col("c.n").alias("a_n")), "centres")
     members = stored(banded.join(shared, "key"), "members")
-    stars = stored(members.where((F.col("id") != F.col("a")) & size(F.col("n"), F.col("a_n"))).select("a", F.col("id").alias("b")).distinct(), "stars")
+    stars = members.where((F.col("id") != F.col("a")) & size(F.col("n"), F.col("a_n"))).select("a", F.col("id").alias("b"))
+    if proposed is not None:
+        stars = stars.unionByName(_proposed(proposed, rows, size))
+    stars = stored(stars.distinct(), "stars")
     ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     links = _linked(stars, _grams(ends(stars), documents, distinct, words), threshold)
 
