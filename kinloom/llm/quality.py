@@ -5,8 +5,8 @@ words in capitals, with runs of signs, with digits, repeated at once, distinct w
 feature; ordered thresholds cut the score into grades: P(grade >= j) = sigmoid(score - threshold_j). The fit minimises the negative log
 likelihood with an L1 penalty (proximal gradient with momentum), so words that tell nothing weigh exactly nothing and long texts gather no noise.
 
-The fit takes at most ``sample_rows`` labelled documents, those with the smallest hashes of their ids. Features that the fit would set aside are counted out
-before the sample is collected; what is left of it and the weights (2 ** bits numbers) are all that reaches the driver. Every document is scored, on its whole text.
+The fit takes at most ``sample_rows`` labelled documents, those with the smallest hashes of their ids. It runs in one task, as the sample is bounded; features that it would set aside
+are counted out before. The numbers of the others, the weights that are not 0 and the thresholds are all that reaches the driver. Every document is scored, on its whole text.
 
 Defined results: null and empty texts are scored by their shape features alone; labels that are null or lack a document are not used; a
 document with several labels is used with each, and a labelled doc_id of several rows with one of its texts (the least hash); without usable labels every grade is null, and every document is kept; repeated rows
@@ -173,7 +173,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: int = 12_288, l1: float = 1e-4) -> Ordinal | None:
-    """Fits on a sample of ratings (doc_id, grade); the sample is bounded, so it may be broadcast and its features collected."""
+    """Fits on a sample of ratings (doc_id, grade); the sample is bounded, so it may be broadcast and its features brought to one task."""
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     usable = ratings.join(own.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
     sample = usable.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "grade").limit(sample_rows)
@@ -186,15 +186,39 @@ def train(documents: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_ro
 
     joined = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "grade", "t.text")  # a repeated id counts once
     found = stored(joined.mapInArrow(run, "doc_id long, grade int, found array<int>"), "features")
-    rows = telling(found).sort_by([("doc_id", "ascending"), ("grade", "ascending")])
-    if not rows.num_rows:
+    return fit_in_task(few_features(found), n_grades, l1)
+
+
+def fit_in_task(found: DataFrame, n_grades: int, l1: float) -> Ordinal | None:
+    """``fit_ordinal`` over the rows (doc_id, grade, found) in a task of its own, so that the driver holds none of them; None if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), schema=kinds).sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+        if not rows.num_rows:
+            return
+        flat, ends = rows["found"].combine_chunks().flatten().to_numpy(), np.cumsum(pc.list_value_length(rows["found"]).to_numpy())
+        model = fit_ordinal(np.split(flat, ends[:-1]), rows["grade"].to_numpy(), n_grades, l1)
+        slots = np.flatnonzero(model.weights).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"slots": [slots], "weights": [model.weights[slots]], "thresholds": [model.thresholds]}, fitted)
+
+    kinds = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("found", pa.list_(pa.int32()))])
+    fitted = pa.schema([("slots", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64())), ("thresholds", pa.list_(pa.float64()))])
+    out = found.coalesce(1).mapInArrow(run, "slots array<int>, weights array<double>, thresholds array<double>").toArrow()
+    if not out.num_rows:
         return None
-    flat, ends = rows["found"].combine_chunks().flatten().to_numpy(), np.cumsum(pc.list_value_length(rows["found"]).to_numpy())
-    return fit_ordinal(np.split(flat, ends[:-1]), rows["grade"].to_numpy(), n_grades, l1)
+    slots, own, thresholds = (out[c].combine_chunks().flatten().to_numpy() for c in ("slots", "weights", "thresholds"))
+    weights = np.zeros(1 << BITS)
+    weights[slots] = own
+    return Ordinal(weights, thresholds.copy())
 
 
 def telling(found: DataFrame) -> pa.Table:
-    """The rows (doc_id, grade, found), collected, with the features that ``fit_ordinal`` may use; it makes the same choice of them as of all."""
+    """``few_features``, collected."""
+    return few_features(found).toArrow()
+
+
+def few_features(found: DataFrame) -> DataFrame:
+    """The rows (doc_id, grade, found) with the features that ``fit_ordinal`` may use; it makes the same choice of them as of all."""
     total = found.agg(F.avg("grade").alias("mean"), F.var_pop("grade").alias("var")).first()
     slots = found.select(F.explode("found").alias("slot"), "grade").groupBy("slot").agg(F.count(F.lit(1)).alias("seen"), F.sum("grade").alias("sum"))
     z = (F.col("sum") - F.col("seen") * F.lit(total["mean"])) / F.sqrt(F.col("seen") * F.lit(max(total["var"] or 0.0, 1e-9)))
@@ -210,7 +234,7 @@ def telling(found: DataFrame) -> pa.Table:
             kept = [x[used[x]] for x in (r.values.to_numpy() for r in batch.column("found"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(kept, pa.list_(pa.int32()))], names=["doc_id", "grade", "found"])
 
-    return found.mapInArrow(run, found.schema).toArrow()
+    return found.mapInArrow(run, found.schema)
 
 
 def _scores(model: Ordinal, features: Features, texts: list) -> np.ndarray:
