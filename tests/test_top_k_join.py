@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,29 @@ def test_no_list_of_pairs(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join Inner, \(+part#", plan)
     assert found.count() == 1200
+
+
+def test_cells_are_built_in_little_more_than_their_numbers():
+    """Two tasks of an executor build a cell's index at once, beside a JVM that fills its heap (component_states on 1 GB)."""
+    rng = np.random.default_rng(1)
+
+    def batches(n, size=10_000, tokens=20):
+        for at in range(0, n, size):
+            ids = pa.array([f"S2-{i:08d}" for i in range(at, at + size)])
+            edges = pa.array(np.arange(size + 1, dtype=np.int32) * tokens)
+            keys, w = pa.array(rng.integers(0, 5000, size * tokens)), pa.array(rng.random(size * tokens))
+            lists = [pa.ListArray.from_arrays(edges, x) for x in (keys, w)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(size, np.int64)), pa.array(np.zeros(size, bool)), ids, *lists], names=["cell", "is_query", "id", "keys", "w"])
+
+    def with_query(rows):
+        for batch in rows:
+            yield batch
+        yield batch.slice(0, 1).set_column(1, "is_query", pa.array([True]))
+
+    given = list(batches(50_000))
+    tracemalloc.start()
+    found = [r for b in retrieval._cells(3)(with_query(given)) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["q"] for r in found] == ["S2-00040000"] * 3
+    assert peak < 33 * 1_000_000, peak / 1_000_000
